@@ -5,10 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenflow.llm import linededup, mixing, ring, simhash
+from lumenflow.llm import avi, bpe, langid, linededup, mixing, onebit, ring, secretscan, simhash
 from lumenflow.session import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", langid.held_out(F.col("doc_id")))
+    model = langid.train(docs.filter(~F.col("held_out")))
+    return langid.predict(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score", "accepted")
+
+
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = bpe.encode(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    out = bpe.decode(ids)
+    joined = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secretscan.scan_secrets(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    base = [r.kind for r in secretscan.BASE_RULES]
+    of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in base]
+    return found.select("doc_id", *counts, F.sha2(said(of(*base)), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", "text")
@@ -30,6 +52,22 @@ FROM d LEFT JOIN k USING (doc_id)
 """
 
 
+def op5_avi_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = avi.text_to_avi(table(spark, sf_dir, "documents"))
+    out = avi.read_clips(media)
+    clips = F.array_join(F.transform("clips", lambda c: F.concat_ws("-", c["start_ms"], c["end_ms"])), ",")
+    return out.select(
+        F.col("id").alias("doc_id"),
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -16, 16)).cast("long").alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat(F.size("clips").cast("string"), F.lit(" shots, ms "), clips).alias("feature"),
+    )
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -77,5 +115,10 @@ mixed AS (SELECT doc_id, source, size, source_size, target,
 
 OP8_SQL = f"WITH {_mix_sql('documents')} SELECT doc_id, source, size, source_size, target, (epochs * size)::BIGINT AS taken FROM mixed"
 
-QUERIES = {"op4_line_dedup": op4_line_dedup, "op6_simhash": op6_simhash, "op7_sharding": op7_sharding, "op8_mixing": op8_mixing}
+def op9_one_bit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = onebit.build_index(table(spark, sf_dir, "embeddings"))
+    return onebit.search(index, F.col("id") % 20 == 0, k=20).withColumnRenamed("id", "vec_id")
+
+
+QUERIES = {"op1_language_id": op1_language_id, "op2_byte_bpe": op2_byte_bpe, "op3_secrets": op3_secrets, "op5_avi_clips": op5_avi_clips, "op9_one_bit_search": op9_one_bit_search, "op4_line_dedup": op4_line_dedup, "op6_simhash": op6_simhash, "op7_sharding": op7_sharding, "op8_mixing": op8_mixing}
 ORACLES = {"op4_line_dedup": OP4_SQL, "op8_mixing": OP8_SQL}
