@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenflow.llm import avi, bpe, langid, linededup, mixing, onebit, ring, secretscan, simhash
+from lumenflow.llm import avi, bpe, langid, linededup, mixing, onebit, ring, secretscan, simhash, suffix
 from lumenflow.session import table
 
 
@@ -117,8 +117,17 @@ OP8_SQL = f"WITH {_mix_sql('documents')} SELECT doc_id, source, size, source_siz
 
 def op9_one_bit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = onebit.build_index(table(spark, sf_dir, "embeddings"))
-    return onebit.search(index, F.col("id") % 20 == 0, k=20).withColumnRenamed("id", "vec_id")
+    return onebit.search(index, F.col("id") % 20 == 0, k=20)
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op2_byte_bpe": op2_byte_bpe, "op3_secrets": op3_secrets, "op5_avi_clips": op5_avi_clips, "op9_one_bit_search": op9_one_bit_search, "op4_line_dedup": op4_line_dedup, "op6_simhash": op6_simhash, "op7_sharding": op7_sharding, "op8_mixing": op8_mixing}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_language_id, op2_byte_bpe, op3_secrets, op4_line_dedup, op5_avi_clips, op6_simhash, op7_sharding, op8_mixing, op9_one_bit_search, op10_suffix_dedup)
+}
 ORACLES = {"op4_line_dedup": OP4_SQL, "op8_mixing": OP8_SQL}
