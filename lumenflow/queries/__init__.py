@@ -1,6 +1,6 @@
 """Queries that apply the operators to the driver's tables; importing this registers them."""
 
 from lumenflow.plans.registry import ORACLES, QUERIES
-from lumenflow.queries import relational, scalars, timelines
+from lumenflow.queries import relational, scalars, timelines, vectorsets
 
-__all__ = ["ORACLES", "QUERIES", "relational", "scalars", "timelines"]
+__all__ = ["ORACLES", "QUERIES", "relational", "scalars", "timelines", "vectorsets"]
