@@ -143,10 +143,13 @@ def decode(encoded: DataFrame, ids_col: str = "ids", out: str = "decoded", ranks
         own = codec(path, pattern)
         for b in batches:
             lists = b.column(at)
-            flat = lists.values.to_numpy(zero_copy_only=False).tolist()
-            offs = lists.offsets.to_pylist()
-            valid = lists.is_valid().to_pylist()
-            raw = [own.decode(flat[a:z]) if ok else None for a, z, ok in zip(offs, offs[1:], valid)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(raw, pa.binary())], [*kept, out])
+            flat, offs, valid = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy(), lists.is_valid().to_pylist()
+            first, raw, size = 0, [], 0
+            for i, ok in enumerate(valid):
+                raw.append(own.decode(flat[offs[i] : offs[i + 1]].tolist()) if ok else None)  # row by row: Python's numbers take much memory
+                size += len(raw[-1] or b"")
+                if size >= FLUSH or i + 1 == len(valid):
+                    yield pa.RecordBatch.from_arrays([*[c.slice(first, len(raw)) for c in b.columns], pa.array(raw, pa.binary())], [*kept, out])
+                    first, raw, size = i + 1, [], 0
 
     return encoded.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
