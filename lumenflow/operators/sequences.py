@@ -53,15 +53,15 @@ def timeline_merge(df: DataFrame, keys: list[str], label: str, max_gap: float =
     new = ~((F.lag(label).over(w) == F.col(label)) & (F.col("s") - F.lag("e").over(w) < max_gap))
     marked = islands(df, keys, [F.col("s"), F.col("ord")], new)
     rows = F.sort_array(F.collect_list(F.struct("s", "ord", "e", "conf")))
-    merged = marked.groupBy(*keys, "island").agg(F.first(label).alias(label), rows.alias("r"))
-    head = F.get("r", F.lit(0))
+    merged = marked.groupBy(*keys, "island").agg(F.first(label).alias(label), rows.alias("__r"))
+    head = F.get("__r", F.lit(0))
 
     def fold(a: Column, x: Column) -> Column:
         span, own = (x["e"] - a["s"]).cast("double"), (x["e"] - x["s"]).cast("double")
         return F.struct(a["s"].alias("s"), x["e"].alias("e"), F.when(span + own == 0, a["conf"]).otherwise((a["conf"] * span + x["conf"] * own) / (span + own)).alias("conf"))
 
-    out = merged.select(*keys, "island", label, F.aggregate(F.slice("r", F.lit(2), F.greatest(F.size("r") - 1, F.lit(0))), F.struct(head["s"].alias("s"), head["e"].alias("e"), head["conf"].alias("conf")), fold).alias("m"))
-    return out.select(*keys, "island", label, "m.s", "m.e", "m.conf").filter(F.col("e") - F.col("s") >= least)
+    out = merged.select(*keys, "island", label, F.aggregate(F.slice("__r", F.lit(2), F.greatest(F.size("__r") - 1, F.lit(0))), F.struct(head["s"].alias("s"), head["e"].alias("e"), head["conf"].alias("conf")), fold).alias("__m"))
+    return out.select(*keys, "island", label, "__m.s", "__m.e", "__m.conf").filter(F.col("e") - F.col("s") >= least)
 
 
 def action_merge(df: DataFrame, keys: list[str], label: str, max_gap: float = 0.5) -> DataFrame:

@@ -10,11 +10,11 @@ from lumenflow.operators import intervals, sequences, spatial
 from lumenflow.plans.registry import query
 from lumenflow.session import table
 
-_SEC = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)")
+_SEC = "timestampdiff(SECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)"
 
 
 def _events(spark, d):
-    return table(spark, d, "events").select("event_id", "user_id", "event_type", "value", "ts", _SEC.cast("long").alias("t"))
+    return table(spark, d, "events").select("event_id", "user_id", "event_type", "value", "ts", F.expr(_SEC).cast("long").alias("t"))
 
 
 def _segments(spark, d):

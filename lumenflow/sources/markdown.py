@@ -15,7 +15,7 @@ def page_header(url: Column, status: Column) -> Column:
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """(path, content, metadata map, title) of every .md file below ``path``."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
     named = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
     return named.select("path", "content", text.comment_metadata(F.col("content")).alias("metadata"), text.page_title(F.col("content"), F.col("path")).alias("title"))
 

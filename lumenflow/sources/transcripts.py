@@ -10,7 +10,7 @@ SEGMENT = "struct<id:int,start:string,end:string,text:string,transcript:string,w
 
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     """(path, ord, start, end, text) of JSON files that hold a list of segments or {"segments": [...]}; other files give none."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     return segments_of(raw, "path", "value")
 
 
