@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 CHUNK = 1 << 16
 OVERLAP = 1 << 10
+LOOKAHEAD = 3  # code points that decide a pre-token's end: the longest contraction
 FLUSH = 1 << 20
 
 
@@ -63,8 +64,8 @@ def stitch(chunks: list[tuple[int, str, np.ndarray]], own: Codec) -> list[str]:
     start, text, ends = chunks[0]
     done = start  # a sure boundary: all before it is in pieces
     for nxt, more, his in chunks[1:]:
-        limit = start + len(text)  # what ends at the chunk's own end might go on
-        both = ends[(ends < limit) & (ends >= nxt) & (ends > done)]
+        limit = start + len(text)  # what ends near the chunk's own end might go on
+        both = ends[(ends <= limit - LOOKAHEAD) & (ends >= nxt) & (ends > done)]
         both = both[(both == nxt) | np.isin(both, his)]
         if len(both):
             pieces.append(text[done - start : int(both[0]) - start])
