@@ -148,10 +148,10 @@ class Unit:
         self.sent = [(int(p), int(i), int(j), bodies[i:j]) for p, i, j in zip(found, a, [*a[1:], len(bodies)])]
 
     def offered(self) -> Iterator[tuple[int, bytes]]:
-        """(sorter, its contents): number, lengths, least ids, compressed texts."""
+        """(sorter, its contents): number, lengths, least ids and texts, compressed."""
         for p, i, j, bodies in self.sent:
-            head = np.concatenate(([j - i], self.sizes[i:j], self.least[i:j])).astype(np.int64).tobytes()
-            yield p, head + zstandard.ZstdCompressor(level=1).compress(b"".join(bodies))
+            sizes, ids = self.sizes[i:j].astype(np.int32).tobytes(), self.least[i:j].tobytes()
+            yield p, zstandard.ZstdCompressor(level=1).compress(b"".join([(j - i).to_bytes(8, "little"), ids, sizes, *bodies]))
 
     def removed(self, answers: dict[int, bytes]) -> np.ndarray:
         """Take the second answers (a bit for each suffix of each content) -> the bytes that go."""
@@ -170,10 +170,11 @@ class Unit:
         return np.cumsum(change[:n]) > 0
 
 
-def read_offer(blob: bytes, span: int) -> tuple[np.ndarray, np.ndarray, bytes]:
-    n = int(np.frombuffer(blob, np.int64, 1)[0])
-    sizes, ids = np.frombuffer(blob, np.int64, 2 * n, 8).reshape(2, n)
-    return sizes, ids, zstandard.ZstdDecompressor().decompress(blob[8 + 16 * n :], max_output_size=int(sizes.sum()))
+def read_offer(blob: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """(lengths, least ids, texts)."""
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n = int.from_bytes(raw[:8], "little")
+    return np.frombuffer(raw, np.int32, n, 8 + 8 * n).astype(np.int64), np.frombuffer(raw, np.int64, n, 8), raw[8 + 12 * n :]
 
 
 def radix_groups(text: np.ndarray, at: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
@@ -201,7 +202,7 @@ def radix_groups(text: np.ndarray, at: np.ndarray, span: int = SPAN) -> tuple[np
 
 def answer_offers(offers: list[bytes], span: int = SPAN) -> list[bytes]:
     """One bit for each suffix of each content of each offer: whether it occurs under an id smaller than the content's."""
-    parsed = [read_offer(o, span) for o in offers]
+    parsed = [read_offer(o) for o in offers]
     seen: dict[bytes, int] = {}
     least: list[int] = []
     numbers = []
