@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lumenflow.functions import text
 from lumenflow.operators import folds, intervals, retrieval, sequences
+from lumenflow.operators.peaks import chapter_peaks
 from lumenflow.plans import models
 
 
@@ -29,12 +30,9 @@ def retrieve_rerank(queries: DataFrame, docs: DataFrame, candidates: int = 50, l
 
 
 def chapters(rows: DataFrame, media: str, order: str, vector: str, least: float) -> DataFrame:
-    """(media, boundary): smoothed dissimilarities, local maxima above the 75th percentile, short spans merged."""
+    """(media, boundary): peaks of the smoothed dissimilarities, short spans merged."""
     d = sequences.adjacent_dissimilarity(rows, [media], order, vector)
-    w = Window.partitionBy(media).orderBy(order)
-    high = d.groupBy(media).agg(F.percentile("smooth", F.lit(0.75)).alias("h"))
-    peaks = d.withColumn("p", F.lag("smooth").over(w)).withColumn("n", F.lead("smooth").over(w)).join(high, media)
-    peaks = peaks.filter("smooth > p AND smooth >= n AND smooth >= h").select(media, F.col(order).cast("double").alias("b"))
+    peaks = chapter_peaks(d, media, order, "smooth").select(media, F.col(order).cast("double").alias("b"))
     ends = rows.groupBy(media).agg(F.min(order).cast("double").alias("lo"), F.max(order).cast("double").alias("hi"))
     both = peaks.unionByName(ends.select(media, F.explode(F.array("lo", "hi")).alias("b")))
     return folds.fold(both, [media], ["b"], ["b"], lambda: folds.MergeShort(least), "boundary double")

@@ -118,6 +118,15 @@ def w18(spark, d):
     return a.withColumn("p", F.lag("x").over(w)).withColumn("n", F.lead("x").over(w)).join(high, "label").filter("x > p AND x > n AND x >= h").select("vec_id")
 
 
+@query("w18_prominent_peaks", None)
+def w18b(spark, d):
+    from lumenflow.operators import peaks
+
+    a = table(spark, d, "embeddings").select("label", "vec_id", F.get("embedding", F.lit(0)).cast("double").alias("x"))
+    chosen = peaks.chapter_peaks(a, "label", "vec_id", "x", 3, 0.05).select("label", "vec_id", F.lit("chapter").alias("kind"))
+    return chosen.unionByName(peaks.energy_peaks(a, "label", "vec_id", "x", 2).select("label", "vec_id", F.lit("energy").alias("kind")))
+
+
 @query("j13_knn", f"SELECT q, vec_id, rk FROM (SELECT a.vec_id AS q, b.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_DOT.format('a.embedding', 'b.embedding')} DESC, b.vec_id)::INTEGER AS rk FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 7) WHERE rk <= 10")
 def j13(spark, d):
     # a stated query set against all rows

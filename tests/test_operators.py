@@ -225,6 +225,19 @@ def test_dbscan_against_plain_version(spark):
     assert rows(got, "a", "b") == [(i, int(np.argsort(d[i], kind="stable")[1])) for i in range(60)]
 
 
+def test_peaks():
+    from lumenflow.operators import peaks
+
+    x = np.array([0, 2, 0, 1, 1, 1, 0, 3, 2.9, 3, 0, 1.0])
+    assert peaks.local_maxima(x).tolist() == [1, 4, 7, 9]
+    assert [round(peaks.prominence(x, i), 3) for i in (1, 4, 7, 9)] == [2, 1, 3, 3]
+    assert peaks.find_peaks(x, 1.5).tolist() == [1, 7, 9]
+    assert peaks.find_peaks(x, distance=3).tolist() == [1, 4, 9]
+    assert peaks.find_peaks(x, distance=7).tolist() == [1, 9]
+    assert peaks.find_peaks(x, least=1.5, most=2).tolist() == [7, 9]
+    assert peaks.find_peaks(np.zeros(5)).tolist() == [] and peaks.median5(np.array([0, 9, 0, 9, 9.0])).tolist() == [0, 0, 9, 9, 0]
+
+
 def test_bfs_budget(spark):
     links = spark.createDataFrame([(1, 2), (1, 3), (2, 4), (3, 4), (4, 5)], "src long, dst long")
     start = spark.createDataFrame([(1,)], "node long")
