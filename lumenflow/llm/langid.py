@@ -154,11 +154,11 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [features(t.as_py()) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([x.tolist() for x, _ in found], pa.list_(pa.int32())), pa.array([y.tolist() for _, y in found], pa.list_(pa.float32()))], ["h", "lang", "ids", "share"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([x.tobytes() for x, _ in found], pa.binary()), pa.array([y.tobytes() for _, y in found], pa.binary())], ["h", "lang", "ids", "share"])
 
-    picked = rows.filter(F.col("h") <= F.lit(last)).mapInArrow(run, "h long, lang string, ids array<int>, share array<float>")
+    picked = rows.filter(F.col("h") <= F.lit(last)).mapInArrow(run, "h long, lang string, ids binary, share binary")
     got = picked.orderBy("h", "lang", "ids").limit(sample).collect()
-    return fit([(r["lang"], np.array(r["ids"], np.int32), np.array(r["share"], np.float32), i % CALIBRATION == 0) for i, r in enumerate(got)])
+    return fit([(r["lang"], np.frombuffer(r["ids"], np.int32), np.frombuffer(r["share"], np.float32), i % CALIBRATION == 0) for i, r in enumerate(got)])
 
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
