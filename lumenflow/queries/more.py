@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumenflow.functions import images, text, timing, vectors
-from lumenflow.operators import clustering, folds, keywords, retrieval, spatial
+from lumenflow.operators import clustering, folds, spatial
 from lumenflow.plans.registry import query
 from lumenflow.session import durable, table
 
