@@ -6,21 +6,26 @@ a machine word. For a query, the bit strings that differ from it are added up
 by carry-save counters, so that one word operation advances 64 distances, and a
 query is abandoned once all distances in its block exceed the radius.
 
-Blocks come from the pigeonhole principle: of radius + 1 bit ranges at least
-one is equal in two fingerprints within the radius, so every linked pair meets
-in the bucket of an equal range. Buckets above ``CHUNK`` fingerprints are dealt
-out as pairs of chunks, so no task holds a bucket whole; each block hands on a
-spanning forest of its links, never all pairs.
+Blocks come from the pigeonhole principle: of ``pieces`` bit ranges at least
+pieces - radius are equal in two fingerprints within the radius, so every
+linked pair meets in a bucket of equal ranges. The number of pieces follows the
+number of fingerprints, so that a bucket's expected size stays below ``CHUNK``:
+5 pieces (5 keys of 12 bits and more) up to some 10 million fingerprints, 6
+(15 keys of 20 bits) up to billions, and so on; all choices give the same
+links. Buckets that are larger still are dealt out as pairs of chunks, so no
+task holds a bucket whole; each block hands on a spanning forest of its links,
+never all pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenflow.operators.components import components
@@ -64,12 +69,21 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return source.mapInArrow(run, "id long, fp long")
 
 
-def ranges(radius: int = RADIUS) -> list[tuple[int, int]]:
-    """(first bit, bits) of radius + 1 ranges that cover 64 bits."""
-    cuts = [round(64 * i / (radius + 1)) for i in range(radius + 2)]
+def ranges(pieces: int) -> list[tuple[int, int]]:
+    """(first bit, bits) of ``pieces`` ranges that cover 64 bits."""
+    cuts = [round(64 * i / pieces) for i in range(pieces + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
+def pieces_for(n: int, radius: int = RADIUS, chunk: int = CHUNK) -> int:
+    """The least number of ranges with which ``n`` random fingerprints fill buckets of ``chunk`` at most."""
+    for pieces in range(radius + 1, 64):
+        bits = sum(sorted(size for _, size in ranges(pieces))[: pieces - radius])
+        if n <= chunk << bits:
+            return pieces
+    return 64
+
+
 def planes(fps: np.ndarray) -> np.ndarray:
     """(64, words) bit planes: bit j of word w of plane k is bit k of fingerprint 64 w + j; padding is 0."""
     words = -(-len(fps) // 64)
@@ -79,10 +93,10 @@ def planes(fps: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little")).view(np.uint64)
 
 
-def within(queries: np.ndarray, block: np.ndarray, size: int, radius: int = RADIUS, skip: tuple[int, int] = (0, 0)) -> np.ndarray:
+def within(queries: np.ndarray, block: np.ndarray, size: int, radius: int = RADIUS, skip: tuple[tuple[int, int], ...] = ()) -> np.ndarray:
     """(len(queries), words) bit matrix: which of the block's ``size`` fingerprints lie within ``radius`` of each query.
 
-    ``block``: from planes(); ``skip``: a bit range known to be equal. Planes are taken two at a time: a full adder
+    ``block``: from planes(); ``skip``: bit ranges known to be equal. Planes are taken two at a time: a full adder
     compresses the two differences and the lowest counter bit into a sum and a carry, which ripples on.
     """
     words = block.shape[1]
@@ -97,7 +111,7 @@ def within(queries: np.ndarray, block: np.ndarray, size: int, radius: int = RADI
     if tail:
         over[:, -1] = _ONES << np.uint64(tail)
     zero = None
-    order = [k for k in range(64) if not skip[0] <= k < skip[0] + skip[1]]
+    order = [k for k in range(64) if not any(a <= k < a + n for a, n in skip)]
 
     def differs(k: int) -> np.ndarray:
         mask = (np.uint64(0) - ((q >> np.uint64(k)) & np.uint64(1)))[:, None]
@@ -136,7 +150,7 @@ def within(queries: np.ndarray, block: np.ndarray, size: int, radius: int = RADI
     return found
 
 
-def _forest(fps: np.ndarray, left: int, radius: int, skip: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+def _forest(fps: np.ndarray, left: int, radius: int, skip: tuple[tuple[int, int], ...]) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest, as index pairs, of the links in ``fps``: among all of them if left is 0, else between the
     first ``left`` and the rest."""
     block_at = left
@@ -159,12 +173,19 @@ def _forest(fps: np.ndarray, left: int, radius: int, skip: tuple[int, int]) -> t
     return np.array(us, np.int64), np.array(vs, np.int64)
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
+def links(distinct: DataFrame, radius: int = RADIUS, chunk: int = CHUNK, pieces: int | None = None) -> DataFrame:
     """Distinct fingerprints (fp long) -> (u, v): links within ``radius`` whose components are exactly those of all links."""
-    cut = ranges(radius)
-    keyed = [F.struct(F.lit(i).alias("t"), F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << n) - 1)).alias("b")) for i, (a, n) in enumerate(cut)]
-    rows = distinct.select("fp", F.inline(F.array(*keyed)))
-    sizes = rows.groupBy("t", "b").count()  # at most (radius + 1) * 2**13 rows at radius 4
+    pieces = pieces or pieces_for(distinct.count(), radius, chunk)
+    cut = list(combinations(ranges(pieces), pieces - radius))
+
+    def key(equal: tuple[tuple[int, int], ...]) -> Column:
+        out = F.lit(0).cast("long")
+        for a, n in equal:
+            out = F.shiftleft(out, n).bitwiseOR(F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << n) - 1)))
+        return out
+
+    rows = distinct.select("fp", F.inline(F.array(*[F.struct(F.lit(i).alias("t"), key(equal).alias("b")) for i, equal in enumerate(cut)])))
+    sizes = rows.groupBy("t", "b").count().filter("count > 1")  # a bucket of one holds no pair
     rows = rows.join(sizes, ["t", "b"]).withColumn("c", F.ceil(F.col("count") / chunk).cast("int"))
     mine = F.pmod(F.xxhash64("fp"), F.col("c")).cast("int")
     # chunk i of c meets every chunk j >= i in block (i, j)

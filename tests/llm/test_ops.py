@@ -216,11 +216,11 @@ def test_simhash_links_lose_nothing(spark):
             fps.add(g)
     fps = {i: f for i, f in enumerate(sorted(fps))}
     number = {f: i for i, f in fps.items()}
-    for chunk in (4096, 8):  # whole buckets, and buckets dealt out as pairs of chunks
+    for chunk, pieces in ((4096, None), (8, 5), (64, 6), (64, 8)):  # whole buckets, buckets dealt out as pairs of chunks, several equal ranges
         df = spark.createDataFrame([(int(np.uint64(f).astype(np.int64)),) for f in fps.values()], "fp long")
         from lumenflow.operators.components import components
 
-        found = {np.uint64(np.int64(r["node"])): np.uint64(np.int64(r["root"])) for r in components(simhash.links(df, chunk=chunk)).collect()}
+        found = {np.uint64(np.int64(r["node"])): np.uint64(np.int64(r["root"])) for r in components(simhash.links(df, chunk=chunk, pieces=pieces)).collect()}
         want = plain_components(fps)
         group = lambda m: sorted(sorted(v) for v in m.values() if len(v) > 1)
         a, b = defaultdict(list), defaultdict(list)
@@ -242,6 +242,12 @@ def test_bit_sliced_distances():
         assert (bits[:, :150] == (np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius)).all() and not bits[:, 150:].any()
 
 
+def test_pieces_follow_the_number_of_fingerprints():
+    assert [simhash.pieces_for(n) for n in (0, 10**6, 10**8, 10**10, 10**11)] == [5, 5, 6, 7, 7]
+    for pieces in (5, 6, 7, 8):
+        assert sum(n for _, n in simhash.ranges(pieces)) == 64
+
+
 # 7 sharding
 def test_shards_equal_a_walk_round_the_ring(spark, docs, no_docs):
     out = ring.shard_documents(docs.withColumn("shard", F.lit("clash")).withColumn("cell", F.lit(1)), 8).collect()
