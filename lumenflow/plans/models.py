@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenflow.functions import text
 
@@ -69,6 +70,42 @@ KINDS = (
 )
 
 
+def _stand_in_value(name: str, kind: T.DataType, seed: Column) -> Column:
+    """A value of the type, drawn from a hash of the input: numbers in [0, 1) or 0 to 99, names of four classes, 8 probabilities."""
+    share = lambda salt: F.pmod(F.xxhash64(seed, F.lit(name), F.lit(salt)), F.lit(1000)) / 1000.0
+    if isinstance(kind, T.DoubleType):
+        return share(0)
+    if isinstance(kind, (T.IntegerType, T.LongType)):
+        return F.floor(share(0) * 100).cast(kind)
+    if isinstance(kind, T.StringType):
+        return F.concat(F.lit(f"{name}_"), F.floor(share(0) * 4).cast("string"))
+    if isinstance(kind, T.BinaryType):
+        return seed.cast("string").cast("binary")
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.DoubleType):
+        raw = F.array(*[share(i) + 0.001 for i in range(8)])
+        total = F.aggregate(raw, F.lit(0.0), lambda a, x: a + x)
+        return F.transform(raw, lambda x: x / total)
+    if isinstance(kind, T.ArrayType):
+        return F.array(_stand_in_value(name, kind.elementType, seed))
+    if isinstance(kind, T.StructType):
+        return F.struct(*[_stand_in_value(f.name, f.dataType, seed).alias(f.name) for f in kind.fields])
+    raise TypeError(f"no stand-in for {kind.simpleString()}")
+
+
+def stand_in(kind: ModelKind, df: DataFrame) -> DataFrame:
+    """One row of the contract's output for each input row: what the input has is passed on, boxes and intervals are put
+    in order, all else is a pure function of the input. Runs inside the JVM."""
+    takes, gives = T.StructType.fromDDL(kind.takes), T.StructType.fromDDL(kind.gives)
+    if missing := [f.name for f in takes.fields if f.name not in df.columns]:
+        raise ValueError(f"{kind.name} needs {', '.join(missing)}")
+    seed = F.xxhash64(*[F.col(f.name) for f in takes.fields])
+    value = {f.name: F.col(f.name).cast(f.dataType) if f.name in df.columns else _stand_in_value(f.name, f.dataType, seed) for f in gives.fields}
+    for lo, hi in (("x1", "x2"), ("y1", "y2"), ("start", "end"), ("first_frame", "last_frame")):
+        if hi in value and hi not in df.columns:
+            value[hi] = (value[lo] + value[hi] + 1).cast(gives[hi].dataType)
+    return df.select(*[value[f.name].alias(f.name) for f in gives.fields])
+
+
 def hashed_vector(body: str, dim: int = 32) -> list[float]:
     """Stand-in embedding: hashed token counts with signs, unit length."""
     v = np.zeros(dim)

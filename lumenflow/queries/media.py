@@ -167,6 +167,17 @@ def x10(spark, d):
     return out.select("id", F.size("vector").alias("dim"), F.round(F.get("vector", F.lit(0)), 6).alias("x0"))
 
 
+@query("x06_stand_ins", "SELECT t.k AS kind, count(*) AS n FROM events, (VALUES ('speech_emotion'), ('audio_tagging'), ('actions')) t(k) GROUP BY 1")
+def x06(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("media"), F.col("value").alias("start"), (F.col("value") + 2).alias("end"))
+    out = None
+    for kind in models.KINDS:
+        if kind.name in ("speech_emotion", "audio_tagging", "actions"):
+            rows = models.stand_in(kind, e).select(F.lit(kind.name).alias("kind"))
+            out = rows if out is None else out.unionByName(rows)
+    return out.groupBy("kind").agg(F.count("*").alias("n"))
+
+
 @query("t01_hopping_windows", "SELECT epoch_us(w) // 1000000 AS start, event_type, count(*) AS n, round(sum(value), 2) AS v FROM (SELECT *, unnest([time_bucket(INTERVAL 1 DAY, ts), time_bucket(INTERVAL 1 DAY, ts) - INTERVAL 1 DAY]) AS w FROM events) GROUP BY 1, 2")
 def t01(spark, d):
     e = streams.read_events(spark, f"{d}/events.parquet")

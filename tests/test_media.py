@@ -73,3 +73,34 @@ def test_unknown_sample_widths():
         w.writeframes(b"\0" * 9)
     with pytest.raises(ValueError):
         wav.read_wav(out.getvalue())
+
+
+def test_every_model_contract_has_a_stand_in(spark):
+    from pyspark.sql import types as T
+
+    from lumenflow.plans import models
+
+    examples = {"media": "m", "audio": bytearray(b"a"), "word": "w", "start": 1.0, "end": 2.0, "id": 5, "text": "t", "query": "q", "body": "b", "prompt": "p", "image": bytearray(b"i"), "frame": 3, "score": 0.5}
+    assert len(models.KINDS) == 20
+    for kind in models.KINDS:
+        takes, gives = T.StructType.fromDDL(kind.takes), T.StructType.fromDDL(kind.gives)
+        df = spark.createDataFrame([tuple(examples[f.name] for f in takes.fields)] * 2, takes)
+        rows = models.stand_in(kind, df).collect()
+        out = models.stand_in(kind, df).schema
+        assert [(f.name, f.dataType.simpleString()) for f in out.fields] == [(f.name, f.dataType.simpleString()) for f in gives.fields]
+        assert len(rows) == 2 and rows[0] == rows[1]
+        if "x1" in out.names:
+            assert rows[0]["x2"] > rows[0]["x1"] and rows[0]["y2"] > rows[0]["y1"]
+        with pytest.raises(ValueError):
+            models.stand_in(kind, df.drop(takes.fields[0].name))
+
+
+def test_diverse_by_vector_and_hash():
+    from lumenflow.operators.folds import Diverse
+
+    a, b, far_bits = [1.0, 0.0], [0.0, 1.0], (1 << 63) - 1 - (1 << 63)
+    rows = [(0, a, 0), (1, a, far_bits), (2, b, 0), (3, b, 0), (4, b, None)]
+    keep = lambda f: [x[0] for r in rows for x in f.row(r)]
+    assert keep(Diverse(0.5)) == [0, 2]
+    assert keep(Diverse(0.5, 0.3, both=True)) == [0, 4]
+    assert keep(Diverse(0.5, 0.3, both=False)) == [0, 1, 2]
