@@ -22,10 +22,11 @@ SAMPLE = 2000
 BITS = 15
 BUCKETS = 2 << BITS
 DIM = 16
-EPOCHS = 12
-RATE = 4.0
+EPOCHS = 5
+RATE = 1.0
 CALIBRATION = 5  # every fifth sampled document
-REJECTED = 0.001  # at most this share of rightly classified calibration documents falls under the threshold
+REJECTED = 0.001  # at most this share of rightly classified calibration documents falls under the threshold,
+MARGIN = 1 / 8  # which is also at most this part of the way from chance to certainty
 BLOCK_BYTES = 1 << 20
 UNKNOWN = "und"
 
@@ -99,8 +100,9 @@ def fit(sample: list[tuple[str, np.ndarray, np.ndarray, bool]], seed: int = 7) -
     held = [x for x in sample if x[3]]
     train = [x for x in sample if not x[3]] or held
     rng = np.random.default_rng(seed)
-    e = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
-    w, bias = np.zeros((DIM, len(langs)), np.float32), np.zeros(len(langs), np.float32)
+    # n-grams that were never seen keep an embedding of zero, so texts made of them score near chance
+    e = np.zeros((BUCKETS, DIM), np.float32)
+    w, bias = (rng.standard_normal((DIM, len(langs))) / DIM**0.5).astype(np.float32), np.zeros(len(langs), np.float32)
     steps, step = EPOCHS * len(train), 0
     for _ in range(EPOCHS):
         for i in rng.permutation(len(train)):
@@ -113,7 +115,7 @@ def fit(sample: list[tuple[str, np.ndarray, np.ndarray, bool]], seed: int = 7) -
             p /= p.sum()
             p[number[lang]] -= 1
             back = w @ p
-            w -= rate * np.outer(v, p)
+            w -= 0.1 * rate * np.outer(v, p)
             bias -= 0.01 * rate * p
             e[ids] = rows - (rate * len(ids) ** 0.5) * np.outer(share, back)  # a row's share falls as 1 / len(ids)
             step += 1
@@ -134,7 +136,8 @@ def fit(sample: list[tuple[str, np.ndarray, np.ndarray, bool]], seed: int = 7) -
     p = model.probabilities(logits)
     right = np.sort(p.max(axis=1)[p.argmax(axis=1) == truth])
     if len(right):
-        model.threshold = min(0.5, float(right[int(len(right) * REJECTED)]))
+        chance = 1 / len(langs)
+        model.threshold = min(chance + MARGIN * (1 - chance), float(right[int(len(right) * REJECTED)]))
     return model
 
 

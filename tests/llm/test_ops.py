@@ -40,6 +40,8 @@ def test_language_id_same_text_same_score_and_empty_tables(spark, docs, no_docs)
     p = model.score(texts, table, out)
     assert (p[0] == p[3]).all() and (model.score(texts[1:2], table, out)[0] == p[1]).all()
     assert langid.train(no_docs) is None
+    odd = docs.limit(1).select(F.lit("Привет как дела сегодня").alias("text"))
+    assert [r["accepted"] for r in langid.predict(odd, model).collect()] == [False]
     assert {r["lang_pred"] for r in langid.predict(docs, None).collect()} == {"und"}
     assert langid.predict(no_docs, model).count() == 0
 
