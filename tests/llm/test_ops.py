@@ -288,9 +288,11 @@ def test_allotment_key_by_key():
 
 
 # 8 mixing
-def plain_mix(rows, seed=17):
+def plain_mix(rows, seed=17, quality=None):
     import math
 
+    quality = quality or {}
+
     size = [len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")) for r in rows]
     total = defaultdict(int)
     for r, s in zip(rows, size):
@@ -318,7 +320,7 @@ def plain_mix(rows, seed=17):
         for r, n in zip(rows, size):
             if r[3] == s:
                 u = (int(hashlib.md5(f"{seed}:{'' if r[0] is None else r[0]}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
-                keys.append((-math.log(u), r[0] is not None, r[0] or 0, n))
+                keys.append((-math.log(u) / quality.get(r[0], 1.0), r[0] is not None, r[0] or 0, n))
         for _, _, i, n in sorted(keys):
             taken[i, s, n].append(min(3, whole + (left > 0 and at + n / 2 <= left)) * n)
             at += n

@@ -38,3 +38,36 @@ def test_stages_take_effect(spark, docs, sf_dir):
 def test_run(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.columns == ["doc_id", "source", "ids", "n_tokens"] and out.filter("n_tokens <> size(ids)").count() == 0 and out.count() > 0
+
+
+def test_run_equals_a_plain_version(spark, small, tmp_path):
+    import re
+
+    import public_tokenizers
+
+    from lumenflow.llm import bpe, langid
+
+    from .conftest import SCHEMA
+    from .test_ops import plain_components, plain_fingerprint, plain_line_dedup, plain_mix
+
+    labels = {i: i % 3 == 0 for i in range(0, 160, 2)}
+    documents = spark.createDataFrame(small, SCHEMA)
+    documents.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(q), 0) for i, q in labels.items()], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+
+    model = langid.train(documents.filter(~langid.held_out(F.col("doc_id"))))
+    table, out = model.projected()
+    rows = [r for r in small if re.search(r"[^\W\d_]", r[1] or "") and model.score([r[1]], table, out).max() >= model.threshold]
+    lines = plain_line_dedup(rows)
+    rows = [(r[0], t, r[2], r[3], len(t)) for r, (_, n, t) in zip(rows, lines) if t or not r[1]]
+    named = [r for r in rows if r[0] is not None]
+    group = plain_components({r[0]: plain_fingerprint(r[1]) for r in named})
+    rows = list({r[0]: r for r in sorted(named, key=lambda r: r[:2], reverse=True) if group[r[0]] == r[0]}.values())
+    _, taken = plain_mix(rows, quality={i: 1.0 + q for i, q in labels.items()})
+    own = bpe.codec(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    want = []
+    for r in rows:
+        size = len(re.findall(r"[^\x20\x09-\x0D]+", r[1]))
+        want += [(r[0], r[3] or "", own.encode(r[1]).tolist())] * ((taken[r[0], r[3], size][0] // size) if taken[r[0], r[3], size] else 0)
+    got = [(r["doc_id"], r["source"] or "", r["ids"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and len(got) > 50
