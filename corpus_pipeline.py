@@ -12,6 +12,13 @@ from lumenflow.llm import bpe, langid, linededup, mixing, simhash
 from lumenflow.session import durable, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+ROW = ["k0", "k1"]
+
+
+def with_row(docs: DataFrame) -> DataFrame:
+    """COLUMNS, and ROW: 128 bits that tell rows apart where ids are null or repeat."""
+    values = [x for c in COLUMNS for x in (F.col(c).isNull(), F.col(c))]
+    return docs.select(*COLUMNS, *[F.xxhash64(F.lit(k), *values).alias(k) for k in ROW])
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,25 +35,31 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays. Of rows that repeat its id the smallest
-    stays, by text, lang, source. Rows without an id can't be told apart from here on, and go."""
-    docs = docs.select(COLUMNS)
-    first = simhash.near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = durable(first.join(docs.groupBy("doc_id").agg(F.count("*").alias("c")), "doc_id"))
-    single = docs.join(kept.filter("c = 1").select("doc_id"), "doc_id", "left_semi").select(COLUMNS)
-    repeated = docs.join(kept.filter("c > 1").select("doc_id"), "doc_id", "left_semi")
-    smallest = repeated.groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("r")).select("doc_id", "r.*")
+    """Of each group of near-duplicates one row stays: of the smallest id (rows without an id come last), and of rows
+    that share it the smallest by text, lang, source. So each group keeps a row, whatever its ids are."""
+    docs = with_row(docs)
+    own = durable(simhash.fingerprints(docs, keep=tuple(ROW)))
+    first = durable(own.join(simhash.groups(own), "fp").filter(F.col("id").eqNullSafe(F.col("component_id"))).select("root", *ROW))
+    kept = durable(first.groupBy("root").agg(F.count("*").alias("c"), *[F.min(k).alias(k) for k in ROW]))
+    single = docs.join(kept.filter("c = 1").select(*ROW), ROW, "left_semi").select(COLUMNS)
+    tied = first.join(kept.filter("c > 1").select("root"), "root", "left_semi").distinct()
+    smallest = docs.join(tied, ROW).groupBy("root").agg(F.min(F.struct(*COLUMNS[1:], "doc_id")).alias("r")).select("r.*")
     return single.unionByName(smallest.select(COLUMNS))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    docs = docs.select(COLUMNS)
+    docs = with_row(docs)
     labels = mixing.quality_weights(table(spark, sf_dir, "labels"))
-    sized = docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size")).join(labels, "doc_id", "left")
-    taken = mixing.mix(sized).filter("epochs > 0").select("doc_id", "epochs")
-    # ids are unique after near-duplicate removal
-    return docs.join(taken, "doc_id").withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), "epochs"))).select(COLUMNS)
+    rows = durable(docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"), F.struct(*ROW).alias("row")))
+    # rows differ after near-duplicate removal, ids need not: the first row of an id is drawn by the id, others by id and row
+    first = rows.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("row").alias("first"))
+    whole = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), *[f"row.{k}" for k in ROW])
+    rows = rows.join(first, "doc_id", "left").withColumn("name", F.when(F.col("row") == F.col("first"), F.col("doc_id").cast("string")).otherwise(whole))
+    rows = durable(rows.join(labels, "doc_id", "left").select("name", "source", "size", "quality", "row.*"))
+    taken = mixing.mix(rows.withColumnRenamed("name", "doc_id")).filter("epochs > 0").select(F.col("doc_id").alias("name"), "epochs")
+    taken = rows.join(taken, "name").select(*ROW, "epochs")
+    return docs.join(taken, ROW).withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), "epochs"))).select(COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -57,16 +57,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id, fp long): the fingerprint of every whole text; one pass, no shuffle."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, fp long, the long columns ``keep``): the fingerprint of every whole text; one pass, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(1)), np.uint64, b.num_rows).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), *b.columns[2:]], ["id", "fp", *keep])
 
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, "id long, fp long")
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *keep)
+    return source.mapInArrow(run, ", ".join(f"{c} long" for c in ("id", "fp", *keep)))
 
 
 def ranges(pieces: int) -> list[tuple[int, int]]:
@@ -220,6 +220,17 @@ def links(distinct: DataFrame, radius: int = RADIUS, chunk: int = CHUNK, pieces:
     return dealt.select("t", "b", "i", "j", "side", "fp").mapInArrow(run, "u long, v long")
 
 
+def groups(own: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Rows (id, fp) in shared storage -> (fp, root, component_id) for every fingerprint. ``root`` names the component;
+    ``component_id`` is its smallest id, null where all its ids are."""
+    least = own.groupBy("fp").agg(F.min("id").alias("least"))
+    roots = components(links(least.select("fp"), radius))
+    grouped = least.join(roots, least.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    grouped = durable(grouped)
+    names = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
+    return grouped.join(names, "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row: 16 hex digits, and the smallest id reachable over links of
     at most ``radius`` differing bits.
@@ -228,11 +239,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     never name it (a component of null ids only has a null one). Rows may repeat; other columns are ignored.
     """
     own = durable(fingerprints(docs, id_col, text_col, shingle))
-    least = own.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = components(links(least.select("fp"), radius))
-    grouped = least.join(roots, least.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    grouped = durable(grouped)
-    names = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = grouped.join(names, "root").select("fp", "component_id")
-    out = own.join(named, "fp")
+    out = own.join(groups(own, radius), "fp")
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -71,3 +71,24 @@ def test_run_equals_a_plain_version(spark, small, tmp_path):
         want += [(r[0], r[3] or "", own.encode(r[1]).tolist())] * ((taken[r[0], r[3], size][0] // size) if taken[r[0], r[3], size] else 0)
     got = [(r["doc_id"], r["source"] or "", r["ids"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(want) and len(got) > 50
+
+
+def test_null_and_repeated_ids_keep_a_row_of_each_group(spark, sf_dir):
+    from .conftest import SCHEMA
+
+    def text(i):
+        return " ".join(f"w{i}x{j}" for j in range(60))
+
+    rows = [(3, text(0)), (7, text(0)), (7, text(1)), (7, text(2)), (None, text(3)), (None, text(3)), (None, text(4)), (None, text(2)), (9, text(4))]
+    frame = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], SCHEMA).repartition(3)
+    steps = dict(corpus_pipeline.STAGES)
+    once = steps["near_dedup"](spark, frame, sf_dir)
+    want = [(3, text(0)), (7, text(1)), (7, text(2)), (None, text(3)), (9, text(4))]
+    key = lambda r: (r[0] is None, r)
+    assert sorted(((r.doc_id, r.text) for r in once.collect()), key=key) == want[:3] + [want[4], want[3]]
+    # one source: the budget is the whole source, each row once
+    assert sorted(((r.doc_id, r.text) for r in steps["mixing"](spark, once, sf_dir).collect()), key=key) == want[:3] + [want[4], want[3]]
+
+
+def test_run_with_ids_equals_a_plain_version(spark, small, tmp_path):
+    test_run_equals_a_plain_version(spark, [r for r in small if r[0] is not None], tmp_path)
