@@ -242,7 +242,7 @@ def c06(spark, d):
     matched = spatial.iou_argmax(box(0), faces, "frame", "id", "face", 0.01, True).select("id", "face")
     v = table(spark, d, "embeddings").select("vec_id", vectors.doubles(F.col("embedding")).alias("v"))
     own = matched.join(v.withColumnsRenamed({"vec_id": "id", "v": "own"}), "id").join(v.withColumnsRenamed({"vec_id": "face", "v": "fv"}), "face", "left")
-    return clustering.dbscan(durable(own.select("id", F.coalesce("fv", "own").alias("v"))), "id", "v", 0.6, 1)
+    return clustering.adaptive_clusters(own.select("id", F.coalesce("fv", "own").alias("v")), "id", "v", 0.6, 1, attempts=6, same=0.99, farthest=0.4)
 
 
 @query("x11_rerank", f"SELECT event_id, round(value / 500 - ln(1 + user_id) / 100, 6) AS score FROM events")

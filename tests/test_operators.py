@@ -280,3 +280,49 @@ def test_config_and_runner(spark):
     assert rows(out, "module", "status") == [("x", "fail"), ("y", "not_run")]
     with pytest.raises(ValueError):
         gates.require({"a"}, "a", "b")
+
+
+def plain_adaptive(v, base, least, attempts, same, farthest):
+    v, kept = v / np.linalg.norm(v, axis=1, keepdims=True), []
+    for i in range(len(v)):
+        if not kept or v[kept[-1]] @ v[i] < same:
+            kept.append(i)
+    c = v[kept]
+    d = 1 - c @ c.T
+    for _ in range(attempts):
+        k = min(max(2 * least, 4), len(c)) - 1
+        far = np.sort(d + np.diag([np.inf] * len(c)), axis=1)[:, k - 1]
+        eps = base if len(c) < max(least + 1, 4) else min(max(np.percentile(far, 40), min(np.percentile(far, 75), base), 0.02), base)
+        near = d <= min(max(eps, 0.05), 0.95)
+        core, label, n = near.sum(axis=1) >= least, np.full(len(c), -1), 0
+        for i in np.flatnonzero(core):
+            if label[i] < 0:
+                todo = [i]
+                while todo:
+                    j = todo.pop()
+                    if label[j] < 0:
+                        label[j] = n
+                        todo += np.flatnonzero(near[j] & (label < 0)).tolist() if core[j] else []
+                n += 1
+        if n > 1:
+            break
+        base *= 0.85
+    if not n:
+        label[:], n = 0, 1
+    cents = np.array([c[label == i].mean(axis=0) for i in range(n)])
+    sims = v @ (cents / np.linalg.norm(cents, axis=1, keepdims=True)).T
+    out = np.where(sims.max(axis=1) < 1 - farthest, -1, sims.argmax(axis=1))
+    return [-1 if x < 0 else sorted(set(out[out >= 0].tolist())).index(x) for x in out.tolist()]
+
+
+@pytest.mark.parametrize("least, cut", [(1, {"farthest": 0.3}), (3, {})])
+def test_adaptive_clusters_assigns_every_row_and_cuts_noise(spark, least, cut):
+    rnd = np.random.default_rng(4)
+    centres = rnd.standard_normal((3, 12))
+    v = np.concatenate([np.repeat(c + 0.3 * rnd.standard_normal((6, 12)), 2, axis=0) for c in centres] + [rnd.standard_normal((4, 12)), np.repeat(rnd.standard_normal((1, 12)), 4, axis=0)])
+    arc = np.radians(np.arange(0, 160, 20))
+    v = np.concatenate([v, np.pad(np.stack([np.cos(arc), np.sin(arc)], axis=1), ((0, 0), (0, 10)))])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = rows(clustering.adaptive_clusters(df, "vec_id", "embedding", 0.35, least, **cut))
+    want = plain_adaptive(v, 0.35, least, 4, 0.95, cut.get("farthest", 0.6))
+    assert got == list(enumerate(want)) and -1 in want
