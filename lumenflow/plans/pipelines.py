@@ -58,13 +58,22 @@ RESEARCH = (
     Module("extracted", ("snapshots",), lambda t: t["snapshots"].select("name", text.comment_metadata(F.col("content")).alias("metadata"), text.page_title(F.col("content"), F.col("name")).alias("title"), markdown.links(F.col("content")).alias("links"))),
 )
 
+
+def element_entities(elements: DataFrame) -> DataFrame:
+    """(id, ord, word, kind, score, start, end): entities of every element of 10 characters and more, white space around it stripped; ``id`` is the document's."""
+    rows = elements.select("doc_id", "ord", F.regexp_replace("text", r"(?U)^\s+|\s+\z", "").alias("text")).filter(F.length("text") >= 10)
+    rows = rows.withColumn("key", F.xxhash64("doc_id", "ord"))
+    found = models.find_entities(rows, "key", "text").withColumnRenamed("id", "key")
+    return rows.select("key", F.col("doc_id").alias("id"), "ord").join(found, "key").drop("key")
+
+
 #: tables: elements (doc_id, ord, type, text)
 DOCS = (
-    Module("text", ("elements",), lambda t: transcripts.document_text(t["elements"], "doc_id", "ord", "text", 60000)),
+    Module("text", ("elements",), lambda t: transcripts.document_text(t["elements"], "doc_id", "ord", "text")),
     Module("types", ("elements",), lambda t: t["elements"].groupBy("doc_id", "type").agg(F.count("*").alias("n"))),
     Module("chunks", ("text",), lambda t: folds.chunk_texts(t["text"], ["doc_id"], "text", folds.chunk_paragraphs)),
     Module("overview", ("text",), lambda t: composites.map_reduce_summary(t["text"])),
-    Module("entities", ("text",), lambda t: models.find_entities(t["text"], "doc_id", "text")),
+    Module("entities", ("elements",), lambda t: element_entities(t["elements"])),
     Module("forms", ("elements",), lambda t: t["elements"].select("doc_id", "ord", text.key_value(F.col("text")).alias("kv")).select("doc_id", "ord", "kv.*").filter(~F.lower("key").isin("", "nan", "none") & (F.col("value") != ""))),
 )
 

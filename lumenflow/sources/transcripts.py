@@ -60,10 +60,12 @@ def best_source(media: DataFrame, key: str, *sources: tuple[str, DataFrame]) ->
     return every.join(media.select(key), key, "left_semi").withColumn("__first", first).filter("__rank = __first").drop("__rank", "__first")
 
 
-def document_text(elements: DataFrame, doc: str, order: str, body: str, most: int) -> DataFrame:
-    """(doc, text): element texts joined by line breaks while the characters before an element (breaks not counted) stay below ``most``; then cut to ``most``."""
+def document_text(elements: DataFrame, doc: str, order: str, body: str, most: int | None = None) -> DataFrame:
+    """(doc, text): element texts joined by line breaks, all of them, or while the characters before an element (breaks not counted) stay below ``most``; then cut to ``most``."""
     rows = elements.filter(F.trim(body) != "")
-    w = Window.partitionBy(doc).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("__before", F.coalesce(F.sum(F.length(body)).over(w), F.lit(0))).filter(F.col("__before") < most)
+    if most is not None:
+        w = Window.partitionBy(doc).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.withColumn("__before", F.coalesce(F.sum(F.length(body)).over(w), F.lit(0))).filter(F.col("__before") < most)
     listed = F.sort_array(F.collect_list(F.struct(order, body)))
-    return rows.groupBy(doc).agg(F.substring(F.array_join(F.transform(listed, lambda r: r[body]), "\n"), 1, most).alias("text"))
+    joined = F.array_join(F.transform(listed, lambda r: r[body]), "\n")
+    return rows.groupBy(doc).agg((joined if most is None else F.substring(joined, 1, most)).alias("text"))

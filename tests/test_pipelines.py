@@ -49,3 +49,15 @@ def test_command_line(spark, sf_dir, tmp_path, capsys):
     assert main(["list"]) == 0 and "j01_overlap_join" in capsys.readouterr().out
     assert main(["run", "r07_event_counts", sf_dir, "--out", str(tmp_path / "out"), "--format", "csv"]) == 0
     assert spark.read.option("header", True).csv(str(tmp_path / "out")).count() > 0
+
+
+def test_docs_read_long_documents_to_the_end(spark):
+    line = "we met Alexander, Barbara, Charlotte, Dorothea, Eleanor, Frederick, Gustav and Henrietta there. " * 10
+    elements = [(1, i, "Text", line) for i in range(80)] + [(1, 80, "Text", "  then we saw Zacharias, Yolanda, Xanthippe, Wilhelmina  "), (1, 81, "Text", "a Maria")]
+    made, _ = pipelines.run(spark, "docs", {"elements": spark.createDataFrame(elements, "doc_id long, ord int, type string, text string")})
+    assert made["text"].first()["text"] == "\n".join(e[3] for e in elements)
+    assert made["chunks"].filter(F.col("body").contains("Wilhelmina")).count() == 1
+    assert made["overview"].first()["n_sections"] == made["chunks"].count()
+    found = made["entities"].collect()
+    assert {r["ord"] for r in found} == set(range(81)) and {r["id"] for r in found} == {1}
+    assert all(elements[r["ord"]][3].strip()[r["start"] : r["end"]] == r["word"] for r in found)
