@@ -10,7 +10,7 @@ whose upper bound reaches the k-th best exact score so far are reranked on the
 original vectors in double precision.
 
 Queries and vectors meet in blocks: every block of queries with every block of
-vectors, each pair of blocks one task; blocks are dealt by a hash of the id.
+vectors, each pair of blocks one task; blocks are dealt by a hash of id and vector.
 """
 
 from __future__ import annotations
@@ -59,25 +59,25 @@ def valid(vector: Column) -> Column:
 
 
 def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(id, dim, vector array<double>, code binary, norm, ip) for every vector that takes part; one row an id (the
-    smallest vector, where an id repeats). Null ids take no part."""
+    """(row, id, dim, vector array<double>, code binary, norm, ip) for every vector that takes part; rows alike in id and
+    vector count once, ``row`` is a hash of both. Null ids take no part."""
     own = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
-    own = own.filter(F.col("id").isNotNull() & valid(F.col("vector"))).groupBy("id").agg(F.min("vector").alias("vector"))
-    rows = own.select("id", F.size("vector").alias("dim"), "vector")
+    own = own.filter(F.col("id").isNotNull() & valid(F.col("vector"))).distinct()
+    rows = own.select(F.xxhash64("id", "vector").alias("row"), "id", F.size("vector").alias("dim"), "vector")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            dims = b.column(1).to_numpy()
+            dims = b.column(2).to_numpy()
             for dim in np.unique(dims).tolist():
                 part = b.filter(pa.array(dims == dim))
-                codes, norm, ip = encode(part.column(2).flatten().to_numpy().reshape(-1, dim))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm), pa.array(ip)], ["id", "dim", "vector", "code", "norm", "ip"])
+                codes, norm, ip = encode(part.column(3).flatten().to_numpy().reshape(-1, dim))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm), pa.array(ip)], ["row", "id", "dim", "vector", "code", "norm", "ip"])
 
-    return rows.mapInArrow(run, "id long, dim int, vector array<double>, code binary, norm double, ip double")
+    return rows.mapInArrow(run, "row long, id long, dim int, vector array<double>, code binary, norm double, ip double")
 
 
-def search_block(queries: tuple[np.ndarray, np.ndarray], ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, norm: np.ndarray, ip: np.ndarray, k: int, epsilon: float = EPSILON) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query (ids, vectors), the k best of the block by exact score, ties by id: (ids, scores)."""
+def search_block(queries: tuple[np.ndarray, np.ndarray], rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, norm: np.ndarray, ip: np.ndarray, k: int, epsilon: float = EPSILON) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query (rows, vectors), the k best of the block's other rows by exact score, ties by id: (ids, scores)."""
     dim, bits = vectors.shape[1], codes.shape[1] * 8
     signs = np.unpackbits(codes, axis=1).astype(np.float32) * 2 - 1
     turned = queries[1] @ rotation(dim, bits).T
@@ -92,14 +92,14 @@ def search_block(queries: tuple[np.ndarray, np.ndarray], ids: np.ndarray, vector
             bound = est + slack * length[at + row] * (1 + 1e-5)
             n = min(k + 1, len(ids))  # the query itself may be among them
             best = np.argpartition(est, len(est) - n)[len(est) - n :]
-            best = best[ids[best] != me]
+            best = best[rows[best] != me]
             exact = (vectors[best] * q).sum(axis=1)
             if len(best) >= k:
                 least = np.partition(exact, len(exact) - k)[len(exact) - k]
                 chosen = np.flatnonzero(bound >= least)
-                chosen = np.union1d(chosen[ids[chosen] != me], best)
+                chosen = np.union1d(chosen[rows[chosen] != me], best)
             else:
-                chosen = np.flatnonzero(ids != me)
+                chosen = np.flatnonzero(rows != me)
             exact = (vectors[chosen] * q).sum(axis=1)
             order = np.lexsort((ids[chosen], -exact))[:k]
             out.append((ids[chosen][order], exact[order]))
@@ -109,25 +109,25 @@ def search_block(queries: tuple[np.ndarray, np.ndarray], ids: np.ndarray, vector
 def search(index: DataFrame, is_query: Column, k: int = 20, vectors: int = VECTORS, queries: int = QUERIES) -> DataFrame:
     """(query_id, rank from 1, vec_id, score): the k best of all indexed vectors of the query's length, but itself.
 
-    ``is_query``: a condition on ``id``. Ties go to smaller ids. ``index`` is written to shared storage once.
+    ``is_query``: a condition on ``id``. An id that repeats asks once for each of its vectors. Ties go to smaller ids. ``index`` is written to shared storage once.
     """
     index = durable(index.withColumn("asks", F.coalesce(is_query, F.lit(False))))
     n, asked = index.agg(F.count("*"), F.coalesce(F.sum(F.col("asks").cast("long")), F.lit(0))).first()
     n_blocks, n_queries = max(1, -(-n // vectors)), max(1, -(-asked // queries))
-    block, group = F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int"), F.pmod(F.xxhash64("id"), F.lit(n_queries)).cast("int")
+    block, group = F.pmod(F.xxhash64("row"), F.lit(n_blocks)).cast("int"), F.pmod(F.xxhash64("row"), F.lit(n_queries)).cast("int")
     base = index.withColumn("block", block).withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))))
-    ask = index.filter("asks").select("id", "dim", "vector", group.alias("grp"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
+    ask = index.filter("asks").select("row", "id", "dim", "vector", group.alias("grp"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "vec_id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
+            return pd.DataFrame({"query_row": pd.Series([], dtype="int64"), "query_id": pd.Series([], dtype="int64"), "vec_id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
         right = right.sort_values("id")
         codes = np.frombuffer(b"".join(right["code"]), np.uint8).reshape(len(right), -1)
-        found = search_block((left["id"].to_numpy(), np.stack(left["vector"])), right["id"].to_numpy(), np.stack(right["vector"]), codes, right["norm"].to_numpy(), right["ip"].to_numpy(), k)
+        found = search_block((left["row"].to_numpy(), np.stack(left["vector"])), right["row"].to_numpy(), right["id"].to_numpy(), np.stack(right["vector"]), codes, right["norm"].to_numpy(), right["ip"].to_numpy(), k)
         counts = [len(i) for i, _ in found]
-        return pd.DataFrame({"query_id": np.repeat(left["id"].to_numpy(), counts), "vec_id": np.concatenate([i for i, _ in found]), "score": np.concatenate([s for _, s in found])})
+        return pd.DataFrame({"query_row": np.repeat(left["row"].to_numpy(), counts), "query_id": np.repeat(left["id"].to_numpy(), counts), "vec_id": np.concatenate([i for i, _ in found]), "score": np.concatenate([s for _, s in found])})
 
     keys = ("dim", "block", "grp")
-    near = ask.groupBy(*keys).cogroup(base.select(*keys, "id", "vector", "code", "norm", "ip").groupBy(*keys)).applyInPandas(run, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    near = ask.groupBy(*keys).cogroup(base.select(*keys, "row", "id", "vector", "code", "norm", "ip").groupBy(*keys)).applyInPandas(run, "query_row long, query_id long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

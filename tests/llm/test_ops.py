@@ -373,6 +373,16 @@ def test_one_bit_search_recall(spark):
     assert onebit.search(onebit.build_index(df.limit(0)), F.col("id") % 20 == 0).count() == 0
 
 
+def test_one_bit_search_takes_every_vector_of_a_repeated_id(spark):
+    v = np.random.default_rng(8).standard_normal((30, 64))
+    rows = [(i // 3 * 20, x.tolist()) for i, x in enumerate(v)] + [(0, v[0].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = onebit.search(onebit.build_index(df), F.col("id") == 20, 29, vectors=10, queries=2).collect()
+    want = [(i // 3 * 20, round(float(v[q] @ v[i]), 9)) for q in (3, 4, 5) for i in range(30) if i != q]
+    assert sorted((r["vec_id"], round(r["score"], 9)) for r in got) == sorted(want)
+    assert sorted(r["rank"] for r in got) == sorted([*range(1, 30)] * 3)
+
+
 # 10 suffix-array dedup
 def plain_repeats(rows, span):
     first = {}
