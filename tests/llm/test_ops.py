@@ -39,13 +39,49 @@ def test_language_id_same_text_same_score_and_empty_tables(spark, docs, no_docs)
     texts = ["the river and stone", "der fluß", "x", "the river and stone"]
     p = model.score(texts, table, out)
     assert (p[0] == p[3]).all() and (model.score(texts[1:2], table, out)[0] == p[1]).all()
-    assert langid.train(no_docs) is None
-    odd = docs.limit(1).select(F.lit("Привет как дела сегодня").alias("text"))
-    assert [r["accepted"] for r in langid.predict(odd, model).collect()] == [False]
+    assert langid.train(no_docs) is None and langid.train(docs.withColumn("lang", F.lit(None).cast("string"))) is None
     assert {r["lang_pred"] for r in langid.predict(docs, None).collect()} == {"und"}
     assert langid.predict(no_docs, model).count() == 0
 
 
+def test_language_id_rejects_what_is_no_learned_language(spark, docs):
+    """The whole table fits and calibrates; new texts of its words are accepted, other languages, code and noise aren't."""
+    import random
+
+    rows = docs.withColumn("doc_id", F.monotonically_increasing_id())
+    model = langid.train(rows)
+    rnd = random.Random(9)
+    good = [" ".join(rnd.choices(w, k=rnd.randint(8, 40))) for w in ("the of and that with river stone house bright water under".split(), "der und nicht fluß stein haus über wasser größe schön".split()) for _ in range(40)]
+    bad = [
+        "Привет как дела сегодня вечером",
+        "这是中文文本没有英文",
+        "for (int i = 0; i < n; i++) { x[i] += y[i]; }",
+        "def f(x): return lambda k: x[k] ** 2",
+        "8f3a9c1d2e4b5f6a7c8d9e0f",
+        "zxqj vkwp qqrt mmnp",
+        *["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz ", k=200)) for _ in range(20)],
+        *[langid.shuffled(t) for t in good],
+    ]
+    judged = langid.predict(spark.createDataFrame([(t,) for t in [*good, *bad]], "text string"), model).collect()
+    accepted = [r["accepted"] for r in judged]
+    assert sum(accepted[: len(good)]) >= 0.95 * len(good)
+    assert not any(accepted[len(good) : len(good) + 26]) and sum(accepted[len(good) + 26 :]) <= 0.1 * len(good)
+
+
+def test_language_id_threshold_is_a_quantile_of_the_calibration_scores():
+    rng = np.random.default_rng(1)
+    logits = np.concatenate((rng.normal(0, 1, (4000, 2)), np.full((4000, 1), -1.0)), axis=1)
+    truth = logits[:, :2].argmax(axis=1)
+    model = langid.Model(["a", "b"], np.zeros((0, 0)), np.zeros((2, 3)), np.zeros(3))
+    for share in (0.01, 0.2):
+        model.calibrate(logits, truth, share)
+        best = model.probabilities(logits).max(axis=1)
+        assert abs((best < model.threshold).mean() - share) < 0.001
+    was = model.threshold
+    model.calibrate(logits, np.full(4000, -1))
+    assert model.threshold == was
+
+
 # 2 byte-level BPE
 def test_bpe_round_trip(spark, docs):
     import tiktoken
