@@ -43,7 +43,7 @@ def durable(df: DataFrame) -> DataFrame:
     """Cut lineage: write ``df`` to the shared folder and read it back.
 
     A lost executor then costs a re-read, not a recomputation. The files go
-    when the driver's JVM ends.
+    with release(), or when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lumenflow-{uuid.uuid4().hex}"
@@ -51,4 +51,14 @@ def durable(df: DataFrame) -> DataFrame:
     jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._durable_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete the files of a durable() table, once all that is computed from it is written; else do nothing."""
+    if path := getattr(df, "_durable_path", None):
+        sc = df.sparkSession.sparkContext
+        hadoop_path = sc._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop_path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(hadoop_path, True)

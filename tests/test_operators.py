@@ -204,6 +204,31 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_split_join_lets_a_hot_key_be_split(spark):
+    from lumenflow.operators.joins import split_join
+
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        rows = spark.range(0, 100_000, 1, 16).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("u"), F.xxhash64("id").alias("v"))
+        least = rows.groupBy("u").agg(F.min("v").alias("m"))
+        plans = []
+        for joined in (rows.join(least, "u"), split_join(rows, least, ["u"])):
+            out = joined.agg(F.count("*"), F.bit_xor("m"), F.bit_xor("v"))
+            plans.append((out.collect(), "skew=true" in out._jdf.queryExecution().executedPlan().toString()))
+        assert plans[0][0] == plans[1][0] and [split for _, split in plans] == [False, True]
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_dbscan_against_plain_version(spark):
     rng = np.random.default_rng(1)
     v = rng.standard_normal((60, 6))
