@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenflow.operators.components import components
+from lumenflow.operators.joins import split_join
 from lumenflow.session import durable
 
 SHINGLE = 4
@@ -186,7 +187,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, chunk: int = CHUNK, pieces:
 
     rows = distinct.select("fp", F.inline(F.array(*[F.struct(F.lit(i).alias("t"), key(equal).alias("b")) for i, equal in enumerate(cut)])))
     sizes = rows.groupBy("t", "b").count().filter("count > 1")  # a bucket of one holds no pair
-    rows = rows.join(sizes, ["t", "b"]).withColumn("c", F.ceil(F.col("count") / chunk).cast("int"))
+    rows = split_join(rows, sizes, ["t", "b"]).withColumn("c", F.ceil(F.col("count") / chunk).cast("int"))
     mine = F.pmod(F.xxhash64("fp"), F.col("c")).cast("int")
     # chunk i of c meets every chunk j >= i in block (i, j)
     meets = F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda j: F.struct(F.least("i", j).alias("i"), F.greatest("i", j).alias("j"), (F.lit(0) + (F.col("i") > j).cast("int")).alias("side")))
@@ -228,7 +229,7 @@ def groups(own: DataFrame, radius: int = RADIUS) -> DataFrame:
     grouped = least.join(roots, least.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     grouped = durable(grouped)
     names = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    return grouped.join(names, "root").select("fp", "root", "component_id")
+    return split_join(grouped, names, ["root"]).select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
