@@ -2,15 +2,17 @@
 
 A vector's direction is padded with zeros to ``CODE_BITS`` dimensions, rotated
 at random and stored as the signs, packed, with two scalars: its norm, and the
-inner product of the direction with its own code. A query's inner product with
-the code, divided by that scalar, estimates its inner product with the vector
-without bias; the error is below ``EPSILON * sqrt((1 - ip^2) / ip^2) /
-sqrt(CODE_BITS - 1)`` times both norms except with small probability. Vectors
-whose upper bound reaches the k-th best exact score so far are reranked on the
-original vectors in double precision.
-
-Queries and vectors meet in blocks: every block of queries with every block of
-vectors, each pair of blocks one task; blocks are dealt by a hash of id and vector.
+inner product of the direction with its own code. A query is rotated likewise
+and rounded to ``QUERY_BITS`` bits a dimension, stored as bit planes, so that
+its inner product with a code is a weighted sum of the set bits of plane AND
+code. Divided by the vector's scalar it estimates the inner product of query
+and vector without bias; the error is below ``EPSILON * sqrt((1 - ip^2) / ip^2)
+/ sqrt(CODE_BITS - 1)`` times both norms, and what the rounding adds, except
+with small probability. Vectors whose upper bound reaches the k-th best exact
+score so far are reranked on the original vectors in double precision.
+
+Vectors lie in blocks, dealt by a hash of id and vector; each is shuffled once.
+Queries travel to every block and stream past it, so a task holds one block.
 """
 
 from __future__ import annotations
@@ -18,7 +20,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,11 +27,10 @@ from pyspark.sql import functions as F
 from lumenflow.session import durable
 
 CODE_BITS = 256
+QUERY_BITS = 4
 EPSILON = 3.0
 SEED = 11
-VECTORS = 8192
-QUERIES = 2048
-SLAB = 256
+LEAST_BLOCK, MOST_BLOCK, BLOCKS = 4096, 65536, 64
 
 
 def rotation(dim: int, bits: int, seed: int = SEED) -> np.ndarray:
@@ -76,58 +76,105 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     return rows.mapInArrow(run, "row long, id long, dim int, vector array<double>, code binary, norm double, ip double")
 
 
-def search_block(queries: tuple[np.ndarray, np.ndarray], rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, norm: np.ndarray, ip: np.ndarray, k: int, epsilon: float = EPSILON) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query (rows, vectors), the k best of the block's other rows by exact score, ties by id: (ids, scores)."""
-    dim, bits = vectors.shape[1], codes.shape[1] * 8
-    signs = np.unpackbits(codes, axis=1).astype(np.float32) * 2 - 1
-    turned = queries[1] @ rotation(dim, bits).T
-    length = np.sqrt((turned * turned).sum(axis=1))
-    scale = norm / (ip * np.sqrt(bits))
-    slack = epsilon * np.sqrt(np.maximum(1 - ip * ip, 0)) / ip / np.sqrt(bits - 1) * norm
-    out = []
-    for at in range(0, len(turned), SLAB):
-        estimates = (turned[at : at + SLAB].astype(np.float32) @ signs.T) * scale.astype(np.float32)
-        for row, est in enumerate(estimates):
-            q, me = queries[1][at + row], queries[0][at + row]
-            bound = est + slack * length[at + row] * (1 + 1e-5)
-            n = min(k + 1, len(ids))  # the query itself may be among them
-            best = np.argpartition(est, len(est) - n)[len(est) - n :]
-            best = best[rows[best] != me]
-            exact = (vectors[best] * q).sum(axis=1)
-            if len(best) >= k:
-                least = np.partition(exact, len(exact) - k)[len(exact) - k]
-                chosen = np.flatnonzero(bound >= least)
-                chosen = np.union1d(chosen[rows[chosen] != me], best)
-            else:
-                chosen = np.flatnonzero(rows != me)
-            exact = (vectors[chosen] * q).sum(axis=1)
-            order = np.lexsort((ids[chosen], -exact))[:k]
-            out.append((ids[chosen][order], exact[order]))
-    return out
-
-
-def search(index: DataFrame, is_query: Column, k: int = 20, vectors: int = VECTORS, queries: int = QUERIES) -> DataFrame:
+class Block:
+    """Indexed vectors, ordered by id, against which queries are searched."""
+
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, norm: np.ndarray, ip: np.ndarray, epsilon: float = EPSILON):
+        order = np.argsort(ids, kind="stable")
+        self.rows, self.ids, self.vectors = rows[order], ids[order], vectors[order]
+        self.bits = codes.shape[1] * 8
+        #: (words, vectors): packed signs; sums over 64 dimensions are one AND and one bit count
+        self.words = np.ascontiguousarray(codes[order].view(np.uint64).T)
+        self.ones = np.bitwise_count(self.words).sum(axis=0, dtype=np.int32)
+        norm, ip = norm[order], ip[order]
+        self.scale = norm / (ip * np.sqrt(self.bits))
+        self.slack = epsilon * np.sqrt(np.maximum(1 - ip * ip, 0)) / ip / np.sqrt(self.bits - 1) * norm
+        self.rounding = epsilon / np.sqrt(12) / ip * norm
+        self.turn = rotation(vectors.shape[1], self.bits).T
+
+    def estimates(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(estimated inner products, what they may lack)."""
+        turned = query @ self.turn
+        low, steps = turned.min(), (1 << QUERY_BITS) - 1
+        step = (turned.max() - low) / steps or 1.0
+        level = np.rint((turned - low) / step).astype(np.uint8)
+        total = np.zeros(len(self.ids), np.int32)
+        for j in range(QUERY_BITS):
+            plane = np.packbits(level >> j & 1).view(np.uint64)
+            count = np.bitwise_count(self.words[0] & plane[0]).astype(np.uint16)
+            for w in range(1, len(plane)):
+                count += np.bitwise_count(self.words[w] & plane[w])
+            total += count.astype(np.int32) << j
+        # signs are 2 bit - 1, coordinates low + step level
+        dot = 2 * (low * self.ones + step * total) - (low * self.bits + step * int(level.sum()))
+        return dot * self.scale, self.slack * np.sqrt(turned @ turned) + self.rounding * step
+
+    def search(self, row: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best of the block's other rows by exact score, ties by id: (ids, scores)."""
+        est, lack = self.estimates(query)
+        n = min(k + 1, len(est))  # the query itself may be among them
+        best = np.argpartition(est, len(est) - n)[len(est) - n :]
+        best = best[self.rows[best] != row]
+        if len(best) >= k:
+            exact = (self.vectors[best] * query).sum(axis=1)
+            least = np.partition(exact, len(exact) - k)[len(exact) - k]
+            chosen = np.flatnonzero(est + lack >= least)
+            chosen = np.union1d(chosen[self.rows[chosen] != row], best)
+        else:
+            chosen = np.flatnonzero(self.rows != row)
+        exact = (self.vectors[chosen] * query).sum(axis=1)
+        order = np.lexsort((self.ids[chosen], -exact))[:k]
+        return self.ids[chosen][order], exact[order]
+
+
+def search(index: DataFrame, is_query: Column, k: int = 20, block: int | None = None) -> DataFrame:
     """(query_id, rank from 1, vec_id, score): the k best of all indexed vectors of the query's length, but itself.
 
-    ``is_query``: a condition on ``id``. An id that repeats asks once for each of its vectors. Ties go to smaller ids. ``index`` is written to shared storage once.
+    ``is_query``: a condition on ``id``. An id that repeats asks once for each of its different vectors. Ties go to
+    smaller ids. ``index`` is written to shared storage once. ``block``: vectors a task; by default as many as make
+    BLOCKS blocks, within LEAST_BLOCK and MOST_BLOCK. Each query meets each block, so work grows with the product of
+    both counts; an empty index gives no rows.
     """
     index = durable(index.withColumn("asks", F.coalesce(is_query, F.lit(False))))
-    n, asked = index.agg(F.count("*"), F.coalesce(F.sum(F.col("asks").cast("long")), F.lit(0))).first()
-    n_blocks, n_queries = max(1, -(-n // vectors)), max(1, -(-asked // queries))
-    block, group = F.pmod(F.xxhash64("row"), F.lit(n_blocks)).cast("int"), F.pmod(F.xxhash64("row"), F.lit(n_queries)).cast("int")
-    base = index.withColumn("block", block).withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))))
-    ask = index.filter("asks").select("row", "id", "dim", "vector", group.alias("grp"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_row": pd.Series([], dtype="int64"), "query_id": pd.Series([], dtype="int64"), "vec_id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
-        right = right.sort_values("id")
-        codes = np.frombuffer(b"".join(right["code"]), np.uint8).reshape(len(right), -1)
-        found = search_block((left["row"].to_numpy(), np.stack(left["vector"])), right["row"].to_numpy(), right["id"].to_numpy(), np.stack(right["vector"]), codes, right["norm"].to_numpy(), right["ip"].to_numpy(), k)
-        counts = [len(i) for i, _ in found]
-        return pd.DataFrame({"query_row": np.repeat(left["row"].to_numpy(), counts), "query_id": np.repeat(left["id"].to_numpy(), counts), "vec_id": np.concatenate([i for i, _ in found]), "score": np.concatenate([s for _, s in found])})
-
-    keys = ("dim", "block", "grp")
-    near = ask.groupBy(*keys).cogroup(base.select(*keys, "row", "id", "vector", "code", "norm", "ip").groupBy(*keys)).applyInPandas(run, "query_row long, query_id long, vec_id long, score double")
+    n = index.count()
+    size = block or min(MOST_BLOCK, max(LEAST_BLOCK, -(-n // BLOCKS)))
+    n_blocks = max(1, -(-n // size))
+    base = index.select("dim", F.pmod(F.xxhash64("row"), F.lit(n_blocks)).cast("int").alias("block"), F.lit(0).alias("asks"), "row", "id", "vector", "code", "norm", "ip")
+    ask = index.filter("asks").select("dim", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), F.lit(1).alias("asks"), "row", "id", "vector", F.lit(b"").alias("code"), F.lit(0.0).alias("norm"), F.lit(0.0).alias("ip"))
+    dealt = base.unionByName(ask).repartition(n_blocks, "dim", "block").sortWithinPartitions("dim", "block", "asks")
+    names = ["query_row", "query_id", "vec_id", "score"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, parts, own = None, [], None
+
+        def block_of(parts: list[pa.RecordBatch], dim: int) -> Block | None:
+            t = pa.Table.from_batches(parts).combine_chunks().to_batches()[0] if parts else None
+            if t is None:
+                return None
+            codes = np.frombuffer(b"".join(t.column(6).to_pylist()), np.uint8).reshape(t.num_rows, -1)
+            return Block(t.column(3).to_numpy(), t.column(4).to_numpy(), t.column(5).flatten().to_numpy().reshape(-1, dim), codes, t.column(7).to_numpy(), t.column(8).to_numpy())
+
+        for b in batches:
+            dims, blocks, asks = (b.column(i).to_numpy() for i in range(3))
+            cuts = np.flatnonzero((np.diff(dims) != 0) | (np.diff(blocks) != 0) | (np.diff(asks) != 0)) + 1
+            for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows]):
+                if a == z:
+                    continue
+                dim, piece = int(dims[a]), b.slice(a, z - a)
+                if (now := (dim, int(blocks[a]))) != key:
+                    key, parts, own = now, [], None
+                if not asks[a]:
+                    parts.append(piece)
+                    continue
+                if own is None and parts:
+                    own, parts = block_of(parts, dim), []
+                if own is None:
+                    continue
+                rows, ids = piece.column(3).to_numpy(), piece.column(4).to_numpy()
+                found = [own.search(int(r), v, k) for r, v in zip(rows, piece.column(5).flatten().to_numpy().reshape(-1, dim))]
+                counts = [len(i) for i, _ in found]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(rows, counts)), pa.array(np.repeat(ids, counts)), pa.array(np.concatenate([i for i, _ in found])), pa.array(np.concatenate([s for _, s in found]))], names)
+
+    near = dealt.mapInArrow(run, "query_row long, query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -394,7 +394,7 @@ def test_one_bit_search_recall(spark):
     rows += [(2000, None, ""), (2020, [0.0] * 64, ""), (2040, [float("nan")] * 64, ""), (2060, [1.0] * 10, ""), (2061, [2.0] * 10, ""), (None, [1.0] * 64, ""), (2080, [None] + [1.0] * 63, ""), (2100, [], "")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
     got = defaultdict(list)
-    for r in onebit.search(onebit.build_index(df), F.col("id") % 20 == 0, 20, vectors=300, queries=20).orderBy("query_id", "rank").collect():
+    for r in onebit.search(onebit.build_index(df), F.col("id") % 20 == 0, 20, block=300).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["vec_id"], r["score"]))
     v = v.astype(np.float32).astype(np.float64)
     hits = total = 0
@@ -413,12 +413,24 @@ def test_one_bit_search_takes_every_vector_of_a_repeated_id(spark):
     v = np.random.default_rng(8).standard_normal((30, 64))
     rows = [(i // 3 * 20, x.tolist()) for i, x in enumerate(v)] + [(0, v[0].tolist())]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = onebit.search(onebit.build_index(df), F.col("id") == 20, 29, vectors=10, queries=2).collect()
+    got = onebit.search(onebit.build_index(df), F.col("id") == 20, 29, block=10).collect()
     want = [(i // 3 * 20, round(float(v[q] @ v[i]), 9)) for q in (3, 4, 5) for i in range(30) if i != q]
     assert sorted((r["vec_id"], round(r["score"], 9)) for r in got) == sorted(want)
     assert sorted(r["rank"] for r in got) == sorted([*range(1, 30)] * 3)
 
 
+def test_one_bit_estimates_and_bounds():
+    rng = np.random.default_rng(12)
+    v = rng.standard_normal((3000, 64)) * rng.uniform(0.1, 5, (3000, 1))
+    block = onebit.Block(np.arange(3000), np.arange(3000), v, *onebit.encode(v))
+    outside, bias = 0, 0.0
+    for q in rng.standard_normal((40, 64)):
+        est, lack = block.estimates(q)
+        error = (est - v @ q) / (np.linalg.norm(v, axis=1) * np.linalg.norm(q))
+        outside, bias = outside + (np.abs(est - v @ q) > lack).sum(), bias + error.mean() / 40
+    assert outside / (40 * 3000) < 0.01 and abs(bias) < 0.005
+
+
 # 10 suffix-array dedup
 def plain_repeats(rows, span):
     first = {}
