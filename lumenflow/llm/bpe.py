@@ -1,18 +1,20 @@
 """Byte-level BPE encoding and decoding with overlapping chunks.
 
-Texts of up to ``CHUNK`` code points are one chunk, pre-tokenised and encoded
-where they lie, without a shuffle. Longer ones are cut into chunks that overlap
-by ``OVERLAP``; chunks are pre-tokenised in parallel, each as if a text began
+Texts over ``CHUNK`` code points are cut into chunks that overlap by
+``OVERLAP``; chunks are pre-tokenised independently, each as if a text began
 there, and stitched at the first position in the overlap where both chunks have
 a pre-token boundary after a character that isn't white space: from there on
 they agree, as matching looks only forward. Where no boundary resynchronises
 (one pre-token longer than the overlap), the next chunk is tokenised again from
 the last sure boundary. Then the pieces between such boundaries are encoded.
+Chunks of texts up to ``GIANT`` code points stay in one task, without a shuffle;
+those of longer texts are dealt to many tasks.
 """
 
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,8 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CHUNK = 1 << 16
-OVERLAP = 1 << 10
+CHUNK = 1 << 12
+OVERLAP = 1 << 8
+GIANT = 1 << 20
 LOOKAHEAD = 3  # code points that decide a pre-token's end: the longest contraction
 FLUSH = 1 << 20
 
@@ -54,8 +57,9 @@ class Codec:
 
 
 @lru_cache(maxsize=4)
-def codec(ranks_path: str, pattern: str) -> Codec:
-    return Codec(ranks_path, pattern)
+def codec(ranks: str, pattern: str) -> Codec:
+    """``ranks``: an absolute path, or the name of a public vocabulary, which is looked up where this runs."""
+    return Codec(ranks if os.path.isabs(ranks) else public_tokenizers.path(ranks), pattern)
 
 
 def stitch(chunks: list[tuple[int, str, np.ndarray]], own: Codec) -> list[str]:
@@ -77,36 +81,43 @@ def stitch(chunks: list[tuple[int, str, np.ndarray]], own: Codec) -> list[str]:
     return [*pieces, text[done - start :]]
 
 
+def cut(text: str, own: Codec, chunk: int, overlap: int) -> list[tuple[int, str, np.ndarray]]:
+    """The overlapping chunks of a text that isn't empty: (start, text, boundaries)."""
+    parts = [(s, text[s : s + chunk + overlap]) for s in range(0, len(text), chunk)]
+    return [(s, part, own.ends(part, s)) for s, part in parts]
+
+
 def _lists(ids: list[np.ndarray]) -> pa.Array:
     offsets = np.zeros(len(ids) + 1, np.int32)
     np.cumsum([len(x) for x in ids], out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32)))
 
 
-def encode(docs: DataFrame, text_col: str = "text", out: str = "ids", keep: list[str] | None = None, ranks: str = "byte_bpe_50k.tiktoken", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def encode(docs: DataFrame, text_col: str = "text", out: str = "ids", keep: list[str] | None = None, ranks: str = "byte_bpe_50k.tiktoken", chunk: int = CHUNK, overlap: int = OVERLAP, giant: int = GIANT) -> DataFrame:
     """The columns ``keep`` (default: all) and ``out`` array<int>: the ids of the whole text, without special tokens.
 
-    Null and empty texts give no ids. A column named as ``out`` is replaced. Repeated long texts are encoded once.
+    Null and empty texts give no ids; an empty table gives no rows; each repeated row is a row of the result. A column
+    named as ``out`` is replaced. Texts over ``giant`` code points are shuffled, each different one once.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c != out]
-    path, pattern = public_tokenizers.path(ranks), public_tokenizers.PATTERN
+    pattern = public_tokenizers.PATTERN
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     schema = T.StructType([*docs.select(*[F.col(f"`{c}`") for c in keep]).schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
+        own = codec(ranks, pattern)
         for b in batches:
             texts, at, ids, size = b.column(b.num_columns - 1), 0, [], 0
             for i, t in enumerate(texts):
                 t = t.as_py()
-                ids.append(own.encode(t))
+                ids.append(own.encode(t) if len(t) <= chunk else np.concatenate([own.encode(p) for p in stitch(cut(t, own, chunk, overlap), own)]))
                 size += len(t)
                 if size >= FLUSH or i + 1 == len(texts):
                     yield pa.RecordBatch.from_arrays([*[c.slice(at, len(ids)) for c in b.columns[:-1]], _lists(ids)], [*keep, out])
                     at, ids, size = i + 1, [], 0
 
     def boundaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
+        own = codec(ranks, pattern)
         for b in batches:
             starts = b.column(2).to_pylist()
             for i, t in enumerate(b.column(3)):
@@ -114,13 +125,13 @@ def encode(docs: DataFrame, text_col: str = "text", out: str = "ids", keep: list
                 yield pa.RecordBatch.from_arrays([*[c.slice(i, 1) for c in b.columns], ends], ["k1", "k2", "start", "part", "ends"])
 
     def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = codec(path, pattern)
+        own = codec(ranks, pattern)
         pdf = pdf.drop_duplicates("start").sort_values("start")
         chunks = [(int(s), p, np.asarray(e)) for s, p, e in zip(pdf["start"], pdf["part"], pdf["ends"])]
         ids = np.concatenate([own.encode(p) for p in stitch(chunks, own)]).astype(np.int32)
         return pd.DataFrame({"k1": pdf["k1"].iloc[:1].to_numpy(), "k2": pdf["k2"].iloc[:1].to_numpy(), out: [ids]})
 
-    is_long = F.length("__text") > chunk
+    is_long = F.length("__text") > giant
     done = rows.filter(~is_long).mapInArrow(short, schema)
     big = rows.filter(is_long).withColumns({"__k1": F.xxhash64("__text"), "__k2": F.xxhash64(F.lit(0x5EED), "__text")})
     texts = big.groupBy("__k1", "__k2").agg(F.min("__text").alias("t")).select(F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), "t")
@@ -135,13 +146,13 @@ def encode(docs: DataFrame, text_col: str = "text", out: str = "ids", keep: list
 
 def decode(encoded: DataFrame, ids_col: str = "ids", out: str = "decoded", ranks: str = "byte_bpe_50k.tiktoken") -> DataFrame:
     """All columns and ``out`` binary: the tokens' raw bytes, concatenated. Null ids give null."""
-    path, pattern = public_tokenizers.path(ranks), public_tokenizers.PATTERN
+    pattern = public_tokenizers.PATTERN
     kept = [c for c in encoded.columns if c != out]
     schema = T.StructType([*encoded.select(*[F.col(f"`{c}`") for c in kept]).schema.fields, T.StructField(out, T.BinaryType())])
     at = kept.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
+        own = codec(ranks, pattern)
         for b in batches:
             lists = b.column(at)
             flat, offs, valid = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy(), lists.is_valid().to_pylist()

@@ -89,14 +89,18 @@ def test_bpe_round_trip(spark, docs):
     own = bpe.codec(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     ranks = {t: i for i, t in enumerate(own.vocabulary) if t}
     plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    for chunk, overlap in ((1 << 16, 1 << 10), (50, 8)):
-        out = bpe.decode(bpe.encode(docs.withColumn("ids", F.lit("clash")), chunk=chunk, overlap=overlap))
+    for chunk, overlap, giant in ((bpe.CHUNK, bpe.OVERLAP, bpe.GIANT), (50, 8, 1 << 20), (50, 8, 200)):
+        out = bpe.decode(bpe.encode(docs.withColumns({"ids": F.lit("clash"), "decoded": F.lit(1)}), chunk=chunk, overlap=overlap, giant=giant))
         got = out.collect()
         assert len(got) == docs.count()
         for r in got:
             assert r["ids"] == plain.encode_ordinary(r["text"] or "") and bytes(r["decoded"]) == (r["text"] or "").encode()
 
 
+def test_bpe_of_empty_tables(no_docs):
+    assert bpe.decode(bpe.encode(no_docs)).collect() == []
+
+
 def test_bpe_stitching_of_awkward_chunks():
     own = bpe.codec(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     for text in ("a" * 300, " " * 300 + "b", "a  \n\n b" * 60, "it's we'll 12 345 " * 20, "\n\n\t x" * 50, "é　 ü" * 40):
@@ -129,6 +133,19 @@ def test_secret_spans_match_a_full_scan(spark, docs):
             assert len(r["spans"]) == 2
 
 
+def test_secret_scan_of_empty_tables_and_long_runs(no_docs):
+    import time
+
+    assert secretscan.scan_secrets(no_docs).collect() == []
+    n = 1_000_000
+    runs = ["://" + "a" * n, "x://" + "a:" * (n // 2), "eyJ" * (n // 3), "eyJ." * (n // 4), "token" + " " * n, "-----BEGIN " + "A " * n, "Bearer " * (n // 7), "a" * n, "AKIA" * (n // 4), "pass" * (n // 4)]
+    began = time.perf_counter()
+    secretscan.scanner(secretscan.RULES).scan(runs)
+    assert time.perf_counter() - began < 20
+    found = secretscan.scanner(secretscan.RULES).scan(["see ftp://me:word@host.org and xhttps://a:b@c", "id eyJab.eyJcd.ef but xeyJab.eyJcd.ef"])
+    assert found == [[(4, 6, 26), (31, 6, 45)], [(3, 4, 17)]]
+
+
 def test_trigram_queries():
     q = secretscan.trigram_query
     assert q(r"[0-9a-f]{24,}") is None and q(r"a.c") is None
