@@ -8,12 +8,14 @@ so baseline JPEG is lossless here and any decoder sees flat squares.
 The Huffman table gives the category c of a DC difference a code of 9 - c bits
 (a unary code, 8 for none to 1 for eight bits), so that code, difference and
 end-of-block together always take 10 bits: frames with this table are packed
-and unpacked as arrays. Other baseline greyscale frames go through a plain
-sequential decoder.
+and unpacked as arrays. Other baseline frames (greyscale, or the luma of colour
+ones; with restart markers; without Huffman tables, as motion JPEG has them)
+go through a plain sequential decoder.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 
@@ -74,12 +76,53 @@ def encode_frames(samples: np.ndarray) -> list[bytes]:
     return [HEADER + s.tobytes().replace(b"\xff", b"\xff\0") + b"\xff\xd9" for s in scans]
 
 
+#: The Huffman tables of the JPEG standard, which motion JPEG leaves out: counts by length, then symbols
+_STANDARD_TABLES = {
+    0x00: "00010501010101010100000000000000 000102030405060708090a0b",
+    0x01: "00030101010101010101010000000000 000102030405060708090a0b",
+    0x10: "0002010303020403050504040000017d 0102030004110512213141061351610722711432"
+    "8191a1082342b1c11552d1f02433627282090a161718191a25262728292a3435363738393a434445464748494a535455565758595a"
+    "636465666768696a737475767778797a838485868788898a92939495969798999aa2a3a4a5a6a7a8a9aab2b3b4b5b6b7b8b9bac2"
+    "c3c4c5c6c7c8c9cad2d3d4d5d6d7d8d9dae1e2e3e4e5e6e7e8e9eaf1f2f3f4f5f6f7f8f9fa",
+    0x11: "00020102040403040705040400010277 0001020311040521310612415107617113223281"
+    "08144291a1b1c109233352f0156272d10a162434e125f11718191a262728292a35363738393a434445464748494a535455565758"
+    "595a636465666768696a737475767778797a82838485868788898a92939495969798999aa2a3a4a5a6a7a8a9aab2b3b4b5b6b7b8"
+    "b9bac2c3c4c5c6c7c8c9cad2d3d4d5d6d7d8d9dae2e3e4e5e6e7e8e9eaf2f3f4f5f6f7f8f9fa",
+}
+
+
+def _tree(table: bytes) -> tuple[dict, bytes]:
+    """16 counts and symbols -> ((length, code) -> symbol, what follows)."""
+    code, k, tree = 0, 16, {}
+    for length, count in enumerate(table[:16], 1):
+        for _ in range(count):
+            tree[length, code] = table[k]
+            code, k = code + 1, k + 1
+        code <<= 1
+    return tree, table[k:]
+
+
+def block_means(frame: np.ndarray) -> np.ndarray:
+    """(height, width) samples -> rounded means of the 8 x 8 blocks, row by row; blocks at the edges may be smaller."""
+    ys, xs = np.arange(0, frame.shape[0], 8), np.arange(0, frame.shape[1], 8)
+    total = np.add.reduceat(np.add.reduceat(frame.astype(np.int64), ys, axis=0), xs, axis=1)
+    count = np.diff(np.append(ys, frame.shape[0]))[:, None] * np.diff(np.append(xs, frame.shape[1]))[None, :]
+    return ((2 * total + count) // (2 * count)).astype(np.uint8).reshape(-1)
+
+
 def decode_frames(frames: list[bytes]) -> np.ndarray:
-    """JPEG files of one size -> (frames, blocks) 8-bit means of their 8 x 8 blocks."""
+    """JPEG files of one size -> (frames, blocks) 8-bit means of their 8 x 8 blocks of greyscale or luma samples."""
+    if not frames:
+        return np.zeros((0, 0), np.uint8)
     if not all(f.startswith(HEADER) for f in frames):
-        return np.stack([decode_any(f)[::8, ::8].reshape(-1) for f in frames])
+        means = [block_means(decode_any(f)) for f in frames]
+        if len({len(m) for m in means}) > 1:
+            raise ValueError("frames of different sizes")
+        return np.stack(means)
     at = len(HEADER)
     scans = b"".join(f[at : f.rindex(b"\xff\xd9")].replace(b"\xff\0", b"\xff") for f in frames)
+    if len(scans) != len(frames) * WIDTH * 5 // 4:
+        raise ValueError("a scan of another length")
     raw = np.zeros((len(scans) // 5, 8), np.uint8)
     raw[:, 3:] = np.frombuffer(scans, np.uint8).reshape(-1, 5)
     word = raw.reshape(-1).view(">u8").astype(np.uint64)
@@ -90,69 +133,95 @@ def decode_frames(frames: list[bytes]) -> np.ndarray:
     return (np.cumsum(d, axis=1, dtype=np.int32) + 128).astype(np.uint8)
 
 
+class _Bits:
+    """A scan's bits up to its next restart marker."""
+
+    def __init__(self, data: bytes):
+        self.bits, self.pos = "".join(f"{x:08b}" for x in data.replace(b"\xff\0", b"\xff")), 0
+
+    def symbol(self, tree: dict) -> int:
+        code = 0
+        for length in range(1, 17):
+            if self.pos >= len(self.bits):
+                raise ValueError("a scan ends early")
+            code = code << 1 | (self.bits[self.pos] == "1")
+            self.pos += 1
+            if (length, code) in tree:
+                return tree[length, code]
+        raise ValueError("a code that is not in its table")
+
+    def signed(self, n: int) -> int:
+        if not n:
+            return 0
+        v = int(self.bits[self.pos : self.pos + n] or "0", 2)
+        self.pos += n
+        return v if v >> (n - 1) else v - (1 << n) + 1
+
+
 def decode_any(jpeg: bytes) -> np.ndarray:
-    """A baseline greyscale JPEG, decoded one code at a time -> (height, width) samples."""
-    quant, codes, at, height, width = {}, {}, 2, 0, 0
+    """A baseline JPEG, decoded one code at a time -> (height, width) samples, of a colour frame the luma."""
+    quant, codes, at, every, parts, frame = {}, {}, 2, 0, [], None
+    for k, table in _STANDARD_TABLES.items():
+        codes[k] = _tree(bytes.fromhex(table))[0]
+    if jpeg[:2] != b"\xff\xd8":
+        raise ValueError("not a JPEG file")
     while True:
+        if at + 4 > len(jpeg) or jpeg[at] != 0xFF:
+            raise ValueError("a broken JPEG header")
         marker, size = struct.unpack(">xBH", jpeg[at : at + 4])
         body, at = jpeg[at + 4 : at + 2 + size], at + 2 + size
         if marker == 0xDB:
             while body:
-                quant[body[0] & 15], body = np.frombuffer(body[1:65], np.uint8).astype(int), body[65:]
+                wide = 128 if body[0] >> 4 else 64
+                quant[body[0] & 15], body = np.frombuffer(body[1 : wide + 1], ">u2" if wide == 128 else np.uint8).astype(int), body[wide + 1 :]
         elif marker == 0xC4:
             while body:
-                counts, code, k, tree = body[1:17], 0, 17, {}
-                for length, count in enumerate(counts, 1):
-                    for _ in range(count):
-                        tree[length, code] = body[k]
-                        code, k = code + 1, k + 1
-                    code <<= 1
-                codes[body[0]], body = tree, body[k:]
-        elif marker == 0xC0:
-            height, width, parts = struct.unpack(">HHB", body[1:6])
-            if parts != 1:
-                raise ValueError("only greyscale frames are read")
-            table = body[8]
+                codes[body[0]], body = _tree(body[1:])
+        elif marker in (0xC0, 0xC1):
+            height, width, n = struct.unpack(">HHB", body[1:6])
+            frame = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)]
+        elif marker == 0xDD:
+            every = struct.unpack(">H", body[:2])[0]
         elif marker == 0xDA:
-            dc, ac = codes[body[2] >> 4], codes[0x10 | body[2] & 15]
+            parts = [(body[1 + 2 * i], body[2 + 2 * i]) for i in range(body[0])]
             break
         elif 0xC0 < marker < 0xD0 and marker not in (0xC8, 0xCC):
             raise ValueError("only baseline frames are read")
-    data = jpeg[at : jpeg.rindex(b"\xff\xd9")].replace(b"\xff\0", b"\xff")
-    bits, pos = "".join(f"{x:08b}" for x in data), 0
-
-    def symbol(tree: dict) -> int:
-        nonlocal pos
-        code = 0
-        for length in range(1, 17):
-            code = code << 1 | int(bits[pos])
-            pos += 1
-            if (length, code) in tree:
-                return tree[length, code]
-        raise ValueError("a code that is not in its table")
-
-    def signed(n: int) -> int:
-        nonlocal pos
-        if not n:
-            return 0
-        v = int(bits[pos : pos + n], 2)
-        pos += n
-        return v if v >> (n - 1) else v - (1 << n) + 1
-
+    if not frame or not height or not width or [p for p, _ in parts] != [c[0] for c in frame]:
+        raise ValueError("only frames of one scan are read")
+    wide, high = max(c[1] for c in frame), max(c[2] for c in frame)
+    if (frame[0][1], frame[0][2]) != (wide, high):
+        raise ValueError("luma is sampled less than colour")
+    if len(frame) == 1:
+        frame, wide, high = [(frame[0][0], 1, 1, frame[0][3])], 1, 1
+    end = jpeg.rfind(b"\xff\xd9")
+    segments = re.split(rb"\xff[\xd0-\xd7]", jpeg[at : end if end >= at else len(jpeg)])
     u = np.arange(8)
     basis = np.cos((2 * u[None, :] + 1) * u[:, None] * np.pi / 16) * np.where(u == 0, np.sqrt(0.125), 0.5)[:, None]
-    out, last = np.zeros((-(-height // 8) * 8, -(-width // 8) * 8), np.uint8), 0
-    for y in range(0, height, 8):
-        for x in range(0, width, 8):
-            block, k = np.zeros(64), 1
-            last += signed(symbol(dc))
-            block[0] = last * quant[table][0]
-            while k < 64 and (rs := symbol(ac)):
-                k += rs >> 4
-                if rs & 15:
-                    block[_ZIGZAG[k]] = signed(rs & 15) * quant[table][k]
-                k += 1
-            out[y : y + 8, x : x + 8] = np.clip(np.rint(basis.T @ block.reshape(8, 8) @ basis + 128), 0, 255)
+    across, down = -(-width // (8 * wide)), -(-height // (8 * high))
+    out = np.zeros((down * 8 * high, across * 8 * wide), np.uint8)
+    bits, last = _Bits(b""), [0] * len(frame)
+    for unit in range(across * down):
+        if unit % every == 0 if every else not unit:
+            if unit // (every or 1) >= len(segments):
+                raise ValueError("a scan ends early")
+            bits, last = _Bits(segments[unit // (every or 1)]), [0] * len(frame)
+        for c, ((_, h, v, table), (_, trees)) in enumerate(zip(frame, parts)):
+            dc, ac = codes[trees >> 4], codes[0x10 | trees & 15]
+            for y, x in ((y, x) for y in range(v) for x in range(h)):
+                block, k = np.zeros(64), 1
+                last[c] += bits.signed(bits.symbol(dc))
+                block[0] = last[c] * quant[table][0]
+                while k < 64 and (rs := bits.symbol(ac)):
+                    k += rs >> 4
+                    if rs & 15:
+                        if k > 63:
+                            raise ValueError("a block of over 64 values")
+                        block[_ZIGZAG[k]] = bits.signed(rs & 15) * quant[table][k]
+                    k += 1
+                if not c:
+                    top, left = 8 * (unit // across * high + y), 8 * (unit % across * wide + x)
+                    out[top : top + 8, left : left + 8] = np.clip(np.rint(basis.T @ block.reshape(8, 8) @ basis + 128), 0, 255)
     return out[:height, :width]
 
 
@@ -177,29 +246,53 @@ def write_avi(frames: list[bytes], width: int = 8 * WIDTH, height: int = 8, fps:
 
 
 def read_avi(data: bytes) -> tuple[float, list[bytes]]:
-    """(frames per second, the video frames by the file's idx1 index)."""
+    """(frames per second, the frames of the first video stream by the file's idx1 index, or as they lie where it has none).
+
+    Other streams' chunks are left out, and empty ones (dropped frames) too. ValueError if it is not such a file.
+    """
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
-    at, end, rate, movi, index = 12, 8 + struct.unpack("<I", data[4:8])[0], 0.0, 0, b""
+    at, end, rate, movi, index, streams, video = 12, min(len(data), 8 + struct.unpack("<I", data[4:8])[0]), 0.0, None, b"", 0, None
     while at + 8 <= end:
         name, size = data[at : at + 4], struct.unpack("<I", data[at + 4 : at + 8])[0]
         kind = data[at + 8 : at + 12] if name == b"LIST" else b""
         if kind == b"movi":
-            movi = at + 8
+            movi = (at + 8, min(end, at + 8 + size))
         elif name == b"idx1":
             index = data[at + 8 : at + 8 + size]
-        elif name == b"strh" and data[at + 8 : at + 12] == b"vids":
-            scale, per = struct.unpack("<II", data[at + 28 : at + 36])
-            rate = per / scale
+        elif name == b"strh":
+            if data[at + 8 : at + 12] == b"vids" and video is None:
+                scale, per = struct.unpack("<II", data[at + 28 : at + 36])
+                rate, video = (per / scale if scale else 0.0), b"%02d" % streams
+            streams += 1
         at += 12 if kind in (b"hdrl", b"strl") else 8 + size + (size & 1)
-    entries = np.frombuffer(index, [("id", "S4"), ("flags", "<u4"), ("at", "<u4"), ("size", "<u4")])
-    return rate, [data[a : a + z] for a, z in zip((entries["at"] + movi + 8).tolist(), entries["size"].tolist())]
+    if movi is None or video is None or rate <= 0:
+        raise ValueError("no video stream with a frame rate")
+    mine = {video + b"dc", video + b"db"}
+    if len(index) >= 16:
+        entries = np.frombuffer(index[: len(index) // 16 * 16], [("id", "S4"), ("flags", "<u4"), ("at", "<u4"), ("size", "<u4")])
+        first = int(entries["at"][0])
+        base = movi[0] if data[movi[0] + first : movi[0] + first + 4] == entries["id"][0] else 0  # places count from the word movi, or from the file's start
+        spans = [(int(e["at"]) + base + 8, int(e["size"])) for e in entries if e["id"] in mine]
+    else:
+        spans, at = [], movi[0] + 4
+        while at + 8 <= movi[1]:
+            name, size = data[at : at + 4], struct.unpack("<I", data[at + 4 : at + 8])[0]
+            if name == b"LIST":
+                at += 12
+                continue
+            if name in mine:
+                spans.append((at + 8, size))
+            at += 8 + size + (size & 1)
+    return rate, [data[a : a + n] for a, n in spans if n]
 
 
 def shots(frames: np.ndarray, bins: int = BINS, history: int = HISTORY, sigmas: float = SIGMAS, least: float = LEAST_CHANGE) -> np.ndarray:
     """First frames of the shots: 0, and frames whose histogram differs from the one before by over ``least`` and by
     over the mean plus ``sigmas`` deviations of the up to ``history`` differences before."""
     n, width = frames.shape
+    if not n:
+        return np.zeros(0, np.int64)
     cells = (np.arange(n)[:, None] * bins + frames.astype(np.int64) * bins // 256).reshape(-1)
     hist = np.bincount(cells, minlength=n * bins).reshape(n, bins)
     d = np.abs(np.diff(hist, axis=0)).sum(axis=1)  # whole numbers, so sums are exact
@@ -222,7 +315,12 @@ def payload(text: str | None) -> bytes:
 
 
 def text_to_avi(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, media binary): each whole text as an AVI file. Null and empty texts give one blank frame."""
+    """(id, n_bytes, media binary): each whole text as an AVI file.
+
+    Null and empty texts give one blank frame; equal texts equal files; ids may be null or repeat; other columns are
+    ignored. A file holds some 2 bytes a byte of text; Spark's binary values end at 2 GB, so a text of over some
+    900 MB fails the job.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -242,32 +340,37 @@ def text_to_avi(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def read_clips(media: DataFrame, media_col: str = "media") -> DataFrame:
-    """All columns, ``payload`` binary (the decoded samples) and ``clips`` (one struct a shot). Null media give null;
-    columns of these names are replaced."""
-    kept = [c for c in media.columns if c not in ("payload", "clips")]
+    """All columns, ``payload`` binary (the decoded samples), ``clips`` (one struct a shot) and ``error`` string, what keeps
+    a file from being read: then, and for null media, payload and clips are null. A file without frames has an empty
+    payload and no clips. Columns of these names are replaced."""
+    kept = [c for c in media.columns if c not in ("payload", "clips", "error")]
     rows = media.select(*[F.col(f"`{c}`") for c in kept])
-    schema = T.StructType([*rows.schema.fields, T.StructField("payload", T.BinaryType()), T.StructField("clips", T._parse_datatype_string(CLIP))])
+    schema = T.StructType([*rows.schema.fields, T.StructField("payload", T.BinaryType()), T.StructField("clips", T._parse_datatype_string(CLIP)), T.StructField("error", T.StringType())])
     at = kept.index(media_col)
     clip_type = pa.list_(pa.struct([("start_ms", pa.int64()), ("end_ms", pa.int64()), ("first_frame", pa.int32()), ("frames", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            start, payloads, clips, held = 0, [], [], 0
+            start, payloads, clips, errors, held = 0, [], [], [], 0
             for i, m in enumerate(b.column(at)):
                 m = m.as_py()
-                if m is None:
-                    payloads.append(None)
-                    clips.append(None)
-                else:
-                    rate, jpegs = read_avi(m)
-                    frames = decode_frames(jpegs)
-                    first = shots(frames).tolist()
-                    ends = [*first[1:], len(frames)]
-                    payloads.append(frames.tobytes())
-                    clips.append([{"start_ms": round(1000 * a / rate), "end_ms": round(1000 * z / rate), "first_frame": a, "frames": z - a} for a, z in zip(first, ends)])
+                samples = own = error = None
+                if m is not None:
                     held += len(m)
+                    try:
+                        rate, jpegs = read_avi(m)
+                        frames = decode_frames(jpegs)
+                    except (ValueError, IndexError, KeyError, struct.error) as e:  # broken files, which say so in their row
+                        error = f"{type(e).__name__}: {e}"
+                    else:
+                        first = shots(frames).tolist()
+                        samples = frames.tobytes()
+                        own = [{"start_ms": round(1000 * a / rate), "end_ms": round(1000 * z / rate), "first_frame": a, "frames": z - a} for a, z in zip(first, [*first[1:], len(frames)])]
+                payloads.append(samples)
+                clips.append(own)
+                errors.append(error)
                 if held >= FLUSH or i + 1 == b.num_rows:
-                    yield pa.RecordBatch.from_arrays([*[c.slice(start, len(clips)) for c in b.columns], pa.array(payloads, pa.binary()), pa.array(clips, clip_type)], [*kept, "payload", "clips"])
-                    start, payloads, clips, held = i + 1, [], [], 0
+                    yield pa.RecordBatch.from_arrays([*[c.slice(start, len(clips)) for c in b.columns], pa.array(payloads, pa.binary()), pa.array(clips, clip_type), pa.array(errors, pa.string())], [*kept, "payload", "clips", "error"])
+                    start, payloads, clips, errors, held = i + 1, [], [], [], 0
 
     return rows.mapInArrow(run, schema)

@@ -214,6 +214,117 @@ def test_frames_decode_alike_one_code_at_a_time():
         avi.read_avi(b"RIFF\0\0\0\0WAVE")
 
 
+def plain_jpeg(planes, sampling, tables=True, every=0):
+    """Flat 8 x 8 blocks, given as (rows, columns) of sample values a component, as a baseline JPEG with the standard DC
+    table 0 and an AC table whose only code is end of block, or with all standard tables."""
+    import struct
+
+    seg = lambda m, b: struct.pack(">BBH", 0xFF, m, len(b) + 2) + b
+    high, wide = (planes[0].shape[i] * 8 for i in (0, 1))
+    head = b"\xff\xd8" + seg(0xDB, b"\0" + bytes([8] * 64))
+    head += seg(0xC0, struct.pack(">BHHB", 8, high, wide, len(planes)) + b"".join(bytes([i + 1, h << 4 | v, 0]) for i, (h, v) in enumerate(sampling)))
+    if tables:
+        head += seg(0xC4, b"\0" + bytes.fromhex(avi._STANDARD_TABLES[0])) + seg(0xC4, b"\x10" + bytes([1] + [0] * 15) + b"\0")
+    if every:
+        head += seg(0xDD, struct.pack(">H", every))
+    head += seg(0xDA, bytes([len(planes)]) + b"".join(bytes([i + 1, 0]) for i in range(len(planes))) + bytes([0, 63, 0]))
+    of = {s: f"{c:0{n}b}" for (n, c), s in avi._tree(bytes.fromhex(avi._STANDARD_TABLES[0]))[0].items()}
+    end = "0" if tables else {s: f"{c:0{n}b}" for (n, c), s in avi._tree(bytes.fromhex(avi._STANDARD_TABLES[0x10]))[0].items()}[0]
+    (h0, v0), bits, scans, last = sampling[0] if len(planes) > 1 else (1, 1), "", [], [128] * len(planes)
+    units = [(y, x) for y in range(-(-planes[0].shape[0] // v0)) for x in range(-(-planes[0].shape[1] // h0))]
+    for u, (y, x) in enumerate(units):
+        if every and u and u % every == 0:
+            scans.append(bits)
+            bits, last = "", [128] * len(planes)
+        for c, (p, (h, v)) in enumerate(zip(planes, sampling if len(planes) > 1 else [(1, 1)])):
+            for dy in range(v):
+                for dx in range(h):
+                    value = int(p[min(y * v + dy, p.shape[0] - 1), min(x * h + dx, p.shape[1] - 1)])
+                    d, last[c] = value - last[c], value
+                    n = abs(d).bit_length()
+                    bits += of[n] + (f"{d if d > 0 else d + (1 << n) - 1:0{n}b}" if n else "") + end
+    scans.append(bits)
+    out = head
+    for i, b in enumerate(scans):
+        b += "1" * (-len(b) % 8)
+        out += (b"\xff" + bytes([0xD0 + (i - 1) % 8]) if i else b"") + int(b, 2).to_bytes(len(b) // 8, "big").replace(b"\xff", b"\xff\0")
+    return out + b"\xff\xd9"
+
+
+def test_other_baseline_frames():
+    rng = np.random.default_rng(1)
+    luma, grey = rng.integers(0, 256, (4, 6)), rng.integers(0, 256, (2, 3))
+    for tables in (True, False):
+        for every in (0, 1, 2):
+            assert (avi.block_means(avi.decode_any(plain_jpeg([grey], [(1, 1)], tables, every))) == grey.reshape(-1)).all()
+            for sampling in ([(1, 1)] * 3, [(2, 1), (1, 1), (1, 1)], [(2, 2), (1, 1), (1, 1)]):
+                colour = [luma, *[rng.integers(0, 256, (4 // sampling[0][1], 6 // sampling[0][0])) for _ in range(2)]]
+                assert (avi.block_means(avi.decode_any(plain_jpeg(colour, sampling, tables, every))) == luma.reshape(-1)).all()
+    frame = rng.integers(0, 256, (11, 20)).astype(np.uint8)
+    want = [int(np.floor(frame[y : y + 8, x : x + 8].mean() + 0.5)) for y in (0, 8) for x in (0, 8, 16)]
+    assert avi.block_means(frame).tolist() == want
+
+
+def test_standard_tables_are_whole():
+    for key, table in avi._STANDARD_TABLES.items():
+        raw = bytes.fromhex(table)
+        assert sum(raw[:16]) == len(raw) - 16 == len(set(raw[16:])) == (12 if key < 16 else 162)
+
+
+def test_files_with_sound_without_index_and_broken_ones(spark, no_docs):
+    frames = avi.encode_frames(np.arange(3 * avi.WIDTH).reshape(3, -1).astype(np.uint8))
+    data = avi.write_avi(frames)
+    index = data.index(b"idx1")
+    silent = data[:index]
+    silent = silent[:4] + (len(silent) - 8).to_bytes(4, "little") + silent[8:]
+    assert avi.read_avi(silent)[1] == frames
+    sound = avi._chunk(b"01wb", b"la" * 5)
+    movi = data.index(b"movi")
+    entry = data[index + 8 : index + 24]
+    mixed = data[: movi + 4] + sound + data[movi + 4 : index] + avi._chunk(b"idx1", b"01wb" + bytes(4) + (4).to_bytes(4, "little") + (10).to_bytes(4, "little") + b"".join(data[index + 8 + 16 * i :][:8] + (int.from_bytes(data[index + 16 + 16 * i :][:4], "little") + len(sound)).to_bytes(4, "little") + data[index + 20 + 16 * i :][:4] for i in range(3)))
+    mixed = mixed[:4] + (len(mixed) - 8).to_bytes(4, "little") + mixed[8:]
+    mixed = mixed.replace(data[movi - 8 : movi], b"LIST" + (int.from_bytes(data[movi - 4 : movi], "little") + len(sound)).to_bytes(4, "little"), 1)
+    assert entry[:4] == b"00dc" and avi.read_avi(mixed)[1] == frames
+    still = data.replace(b"vids" + b"MJPG" + bytes(12) + (1).to_bytes(4, "little"), b"vids" + b"MJPG" + bytes(12) + bytes(4), 1)
+    none = avi.write_avi([b""])
+    rows = [(1, data), (2, silent), (3, mixed), (4, still), (5, data[:300]), (6, b"noise"), (7, None), (8, none), (9, data.replace(b"\xff\xd9", b"\xff\xd8"))]
+    df = spark.createDataFrame(rows, "id long, media binary").withColumns({"clips": F.lit(1), "error": F.lit(2)})
+    got = {r["id"]: r for r in avi.read_clips(df).collect()}
+    want = np.arange(3 * avi.WIDTH).astype(np.uint8).tobytes()
+    assert all(bytes(got[i]["payload"]) == want and got[i]["error"] is None and got[i]["clips"] for i in (1, 2, 3))
+    assert all(got[i]["payload"] is None and got[i]["clips"] is None and got[i]["error"] for i in (4, 5, 6, 9))
+    assert got[7]["payload"] is None and got[7]["error"] is None
+    assert bytes(got[8]["payload"]) == b"" and got[8]["clips"] == [] and got[8]["error"] is None
+    assert avi.read_clips(avi.text_to_avi(no_docs)).collect() == []
+
+
+def plain_shots(frames):
+    """Shot starts, one difference at a time."""
+    import math
+
+    hists = [[0] * avi.BINS for _ in frames]
+    for hist, f in zip(hists, frames):
+        for x in f:
+            hist[int(x) * avi.BINS // 256] += 1
+    d = [sum(abs(a - b) for a, b in zip(x, y)) for x, y in zip(hists, hists[1:])]
+    out = [0]
+    for i, x in enumerate(d):
+        before = d[max(0, i - avi.HISTORY) : i]
+        k, total, squares = len(before), sum(before), sum(y * y for y in before)
+        if x > avi.LEAST_CHANGE * 2 * len(frames[0]) and x * k > total + avi.SIGMAS * math.sqrt(max(0, squares * k - total * total)):
+            out.append(i + 1)
+    return out
+
+
+def test_shots_equal_a_plain_version(small):
+    rng = np.random.default_rng(2)
+    cases = [np.frombuffer(avi.payload(r[1]), np.uint8).reshape(-1, avi.WIDTH) for r in small]
+    for _ in range(40):
+        cuts = np.concatenate([np.clip(rng.normal(rng.integers(0, 256), rng.integers(1, 60), (rng.integers(1, 15), avi.WIDTH)), 0, 255) for _ in range(4)])
+        cases.append(cuts.astype(np.uint8))
+    assert all(avi.shots(c).tolist() == plain_shots(c) for c in cases) and any(len(plain_shots(c)) > 2 for c in cases)
+
+
 def test_shots_follow_changes_of_the_histogram():
     dark, light = np.full((20, avi.WIDTH), 20, np.uint8), np.full((20, avi.WIDTH), 220, np.uint8)
     assert avi.shots(np.concatenate((dark, light, dark))).tolist() == [0, 20, 40]
