@@ -5,9 +5,11 @@ words takes two complete epochs, then documents in the order of their
 Efraimidis-Spirakis keys (exponential variables divided by the document's
 quality weight) until their prefix sum reaches the rest.
 
-The prefix sum over a source never runs in one task: keys fall into ``BINS``
-bins per source, whose sums (BINS rows a source at most) locate the bin that
-holds the cut; only that bin's rows are ordered one by one.
+The prefix sum over a source never runs in one task: keys fall into bins of
+equal width of their logarithm, ``BINS`` to a doubling, so that bins are as fine
+for large weights as for small ones; the bins' sums (some 20,000 rows a source)
+locate the bin that holds the cut, and only that bin's rows are ordered. Rows
+alike there are counted before, and ordered as a few counts.
 """
 
 from __future__ import annotations
@@ -19,7 +21,8 @@ from lumenflow.session import durable
 
 WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
-BINS = 4096
+BINS = 1024
+PARTS = 4096  # a row that repeats very often is counted in so many parts
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -67,7 +70,7 @@ def mix(rows: DataFrame, seed: int = 17, weights: tuple = WEIGHTS, most: int = M
     q = F.col("quality").cast("double")
     weight = F.when((q > 0) & ~F.isnan(q) & (q < float("inf")), q).otherwise(1.0)
     own = rows.select("doc_id", "source", F.col("size").cast("long"), es_key(F.col("doc_id"), weight, seed).alias("key"))
-    own = durable(own.withColumn("bin", F.least(F.lit(bins - 1), F.floor((1 - F.exp(-F.col("key"))) * bins)).cast("int")))
+    own = durable(own.withColumn("bin", F.floor(F.log2(F.greatest("key", F.lit(1e-300))) * bins).cast("int")))
     by_bin = own.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
     to = targets(by_bin.groupBy("source").agg(F.sum("bin_size").alias("source_size")), weights, most)
     to = to.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
@@ -82,10 +85,11 @@ def mix(rows: DataFrame, seed: int = 17, weights: tuple = WEIGHTS, most: int = M
     # one row a source: joined by its key, so that a table of many sources is shuffled, and a small one is broadcast by its measured size
     full = own.join(plan, null_safe(own, plan)).select(own["*"], "source_size", "target", "whole", "rest", "cut_bin", "bin_start")
     at_cut = F.coalesce(F.col("bin") == F.col("cut_bin"), F.lit(False))
-    inside = full.filter(at_cut)
-    order = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("bin_start") + F.coalesce(F.sum("size").over(order), F.lit(0))
-    inside = inside.withColumn("more", ((start + F.col("size") / 2 <= F.col("rest")) & (F.col("rest") > 0)).cast("int"))
+    alike = full.filter(at_cut).withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(PARTS))).groupBy(*full.columns, "part").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("source").orderBy("key", "doc_id", "size", "part").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("bin_start") + F.coalesce(F.sum(F.col("size") * F.col("n")).over(order), F.lit(0))
+    inside = alike.withColumn("start", start).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    inside = inside.withColumn("more", ((F.col("start") + F.col("i") * F.col("size") + F.col("size") / 2 <= F.col("rest")) & (F.col("rest") > 0)).cast("int")).select(*full.columns, "more")
     outside = full.filter(~at_cut).withColumn("more", (F.coalesce(F.col("bin") < F.col("cut_bin"), F.lit(False)) & (F.col("rest") > 0)).cast("int"))
     out = inside.unionByName(outside).withColumn("epochs", F.least(F.col("whole") + F.col("more"), F.lit(most)).cast("long"))
     return out.select("doc_id", "source", "size", "source_size", "target", "epochs", (F.col("epochs") * F.col("size")).alias("taken"))

@@ -10,7 +10,9 @@ Which rows a full shard keeps is decided by cell, then by position inside the
 cell, so the walk needs only the number of rows in each cell: at most
 ``2**cell_bits`` counts reach the driver, whatever the input's size. Rows are
 ranked inside their cell (a window over a 16,384th of the rows) and look up
-the cell's few (rank range -> shard) pieces in a table of bounded size.
+the cell's few (rank range -> shard) pieces in a table of bounded size. Rows
+alike in all columns, which no hash can spread, are counted before, and enter
+the window as a few counts.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from lumenflow.session import durable
 
 CELL_BITS = 14
 VNODES = 64
+PARTS = 4096  # a row that repeats very often is counted in so many parts
 
 
 def preferences(shards: int, vnodes: int = VNODES, cell_bits: int = CELL_BITS) -> list[tuple[int, list[int]]]:
@@ -75,7 +78,7 @@ def place(rows: DataFrame, position: Column, ties: list[str], shards: int, slack
     """``rows`` with ``shard`` int and ``slot`` long (gapless from 0 in each shard).
 
     ``position``: a long hash that spreads the rows; ``ties``: columns that order rows of equal position (rows
-    alike in these are interchangeable). ``rows`` is written to shared storage once, so pass narrow rows. Columns
+    alike in all columns are interchangeable). ``rows`` is written to shared storage once, so pass narrow rows. Columns
     named shard or slot are replaced. Empty input gives no rows.
     """
     kept = [c for c in rows.columns if c not in ("shard", "slot")]
@@ -85,9 +88,11 @@ def place(rows: DataFrame, position: Column, ties: list[str], shards: int, slack
     pieces = allot(counts, shards, slack, vnodes, cell_bits)
     listed = wide.sparkSession.range(1).select(F.from_json(F.lit(json.dumps(pieces)), "array<struct<cell:int,lo:long,hi:long,shard:int,slot0:long>>").alias("p"))
     listed = listed.select(F.inline("p"))  # 2**cell_bits + shards**2 rows at most, so it may be broadcast
-    inside = Window.partitionBy("cell").orderBy("pos", *[F.col(f"row.`{c}`") for c in ties])
-    ranked = wide.withColumn("rank", (F.row_number().over(inside) - 1).cast("long"))
-    joined = ranked.join(F.broadcast(listed), "cell").filter("rank >= lo AND rank < hi")
+    alike = wide.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(PARTS))).groupBy("cell", "pos", "row", "part").agg(F.count("*").alias("n"))
+    inside = Window.partitionBy("cell").orderBy("pos", *[F.col(f"row.`{c}`") for c in ties], "part").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = alike.withColumn("first", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    a, z = F.greatest("first", "lo"), F.least(F.col("first") + F.col("n"), F.col("hi"))
+    joined = ranked.join(F.broadcast(listed), "cell").filter(a < z).withColumn("rank", F.explode(F.sequence(a, z - 1)))
     return joined.select("row.*", "shard", (F.col("slot0") + F.col("rank") - F.col("lo")).alias("slot"))
 
 

@@ -14,8 +14,12 @@ first exchange of 5 bytes a run finds out (chance agreements there cost time,
 not correctness). Documents are packed into compressed units in shared storage;
 a unit sends each different run once, with its least document id, and gets back
 one bit a suffix, so what a sorter holds of one string grows with the number of
-units, not of documents. Two exchanges (which minimisers are shared; which
-strings occur in a smaller document) are answered unit by unit.
+units, not of documents. A minimiser that very many units hold, as a popular
+phrase gives it in ever different surroundings, does not go to one sorter: its
+runs are cut and dealt by the second least hash inside each suffix. Two
+exchanges (which minimisers are shared; which strings occur in a smaller
+document) are answered unit by unit. Sizes of units and sorters follow the
+text's total size.
 """
 
 from __future__ import annotations
@@ -34,9 +38,12 @@ from lumenflow.session import durable
 
 SPAN = 50
 GRAM = 24
-UNIT_BYTES = 4 << 20
+UNIT_BYTES = 4 << 20, 64 << 20  # the total divided by UNITS, within these bounds
+UNITS = 1 << 15
 PARTITIONS = 256
-PARTITION_BYTES = 16 << 20
+PARTITION_BYTES = 16 << 20, 64 << 20  # likewise, by SORTERS
+SORTERS = 1 << 13
+POPULAR = 64  # units that hold a minimiser
 SEGMENT = 1 << 17
 NO_ID = np.iinfo(np.int64).max
 
@@ -49,12 +56,31 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def minimisers(raw: np.ndarray, span: int = SPAN) -> np.ndarray:
-    """For each position with ``span`` bytes from it on: the least hash of the GRAM-byte strings in these."""
+def gram_hashes(raw: np.ndarray) -> np.ndarray:
+    """For each position with GRAM bytes from it on, the hash of these."""
     h = {1: raw.astype(np.uint64) + np.uint64(1)}
     for k in (1, 2, 4, 8):
         h[2 * k] = h[k][:-k] * _POWERS[k] + h[k][k:]
-    low = _mix(h[16][:-8] * _POWERS[8] + h[8][16:])
+    return _mix(h[16][:-8] * _POWERS[8] + h[8][16:])
+
+
+def second_minimisers(raw: np.ndarray, span: int = SPAN) -> np.ndarray:
+    """As minimisers(), but the least hash above the minimiser; all bits set where there is none."""
+    low, width, k = gram_hashes(raw), span - GRAM + 1, 1
+    high = np.full(len(low), np.iinfo(np.uint64).max)
+
+    def both(step: int) -> tuple[np.ndarray, np.ndarray]:
+        a, b, c, d = low[:-step], low[step:], high[:-step], high[step:]
+        return np.minimum(a, b), np.where(a == b, np.minimum(c, d), np.where(a < b, np.minimum(c, b), np.minimum(a, d)))
+
+    while 2 * k <= width:
+        (low, high), k = both(k), 2 * k
+    return both(width - k)[1] if width > k else high
+
+
+def minimisers(raw: np.ndarray, span: int = SPAN) -> np.ndarray:
+    """For each position with ``span`` bytes from it on: the least hash of the GRAM-byte strings in these."""
+    low = gram_hashes(raw)
     width, k = span - GRAM + 1, 1
     while 2 * k <= width:
         low, k = np.minimum(low[:-k], low[k:]), 2 * k
@@ -97,7 +123,7 @@ class Unit:
     def __init__(self, ids: bytes, lengths: bytes, body: bytes, parts: int, span: int):
         self.ids, self.lengths = np.frombuffer(ids, np.int64), np.frombuffer(lengths, np.int64)
         self.text = zstandard.ZstdDecompressor().decompress(body, max_output_size=int(self.lengths.sum()) or 1) if self.lengths.sum() else b""
-        self.raw, self.span = np.frombuffer(self.text, np.uint8), span
+        self.raw, self.span, self.n_parts = np.frombuffer(self.text, np.uint8), span, parts
         self.at, self.size, self.doc, h = runs(self.raw, self.lengths, span)
         part = ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
         key = part << np.uint64(40) | (h & np.uint64((1 << 40) - 1))
@@ -121,15 +147,18 @@ class Unit:
             yield p, five.tobytes() + np.packbits(self.several[a:z]).tobytes()
 
     def share(self, answers: dict[int, bytes]) -> None:
-        """Take the first answers; then ``contents`` holds, for each sorter, the different shared runs and their least ids."""
-        shared = np.zeros(len(self.keys), bool)
+        """Take the first answers; then ``sent`` holds, for each sorter, the different shared runs and their least ids."""
+        shared, popular = np.zeros(len(self.keys), bool), np.zeros(len(self.keys), bool)
         for p, a, z in zip(self.parts.tolist(), self.bounds, self.bounds[1:]):
-            shared[a:z] = np.unpackbits(np.frombuffer(answers[p], np.uint8), count=z - a)
-        self.mine = np.flatnonzero(shared[self.which])
-        part = (self.keys[self.which[self.mine]] >> np.uint64(40)).astype(np.int64)
-        self.mine = self.mine[np.argsort(part, kind="stable")]
-        part.sort()
-        at, stop = self.at[self.mine], self.at[self.mine] + self.size[self.mine] + (self.span - 1)
+            both = np.unpackbits(np.frombuffer(answers[p], np.uint8)).astype(bool)
+            shared[a:z], popular[a:z] = both[: z - a], both[len(both) // 2 :][: z - a]
+        runs_ = np.flatnonzero(shared[self.which] & ~popular[self.which])
+        found = [(self.at[runs_], self.size[runs_], self.doc[runs_], (self.keys[self.which[runs_]] >> np.uint64(40)).astype(np.int64))]
+        found.append(self._dealt_again(np.flatnonzero(shared[self.which] & popular[self.which])))
+        at, size, doc, part = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(part, kind="stable")
+        self.my_at, self.my_size, self.my_doc, part = at[order], size[order], doc[order], part[order]
+        at, stop = self.my_at, self.my_at + self.my_size + (self.span - 1)
         text, seen = self.text, {}
         bodies, content, parts = [], np.empty(len(at), np.int64), part.tolist()
         for i, (a, z) in enumerate(zip(at.tolist(), stop.tolist())):
@@ -139,7 +168,7 @@ class Unit:
                 bodies.append(body)
         self.content = content
         least = np.full(len(bodies), NO_ID, np.int64)
-        np.minimum.at(least, content, self.ids[self.doc[self.mine]])
+        np.minimum.at(least, content, self.ids[self.my_doc])
         self.least = least
         firsts = np.zeros(len(bodies), np.int64)
         firsts[content[::-1]] = part[::-1]
@@ -147,6 +176,20 @@ class Unit:
         found, a = np.unique(firsts, return_index=True)
         self.sent = [(int(p), int(i), int(j), bodies[i:j]) for p, i, j in zip(found, a, [*a[1:], len(bodies)])]
 
+    def _dealt_again(self, runs_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(first positions, suffixes, documents, sorters) of the runs, cut where their second minimisers change."""
+        if not len(runs_):
+            return tuple(np.zeros(0, np.int64) for _ in range(4))
+        size = self.size[runs_]
+        wide = size + (self.span - 1)
+        starts = np.cumsum(wide) - wide
+        here = np.arange(int(wide.sum())) - np.repeat(starts, wide) + np.repeat(self.at[runs_], wide)
+        inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        second = second_minimisers(self.raw[here], self.span)[np.repeat(starts, size) + inner]
+        cut = np.flatnonzero((inner == 0) | np.concatenate(([True], second[1:] != second[:-1])))
+        part = ((_mix(second[cut] * _B) >> np.uint64(32)) * np.uint64(self.n_parts)) >> np.uint64(32)
+        return (np.repeat(self.at[runs_], size) + inner)[cut], np.diff(np.append(cut, len(inner))), np.repeat(self.doc[runs_], size)[cut], part.astype(np.int64)
+
     def offered(self) -> Iterator[tuple[int, bytes]]:
         """(sorter, its contents): number, lengths, least ids and texts, compressed."""
         for p, i, j, bodies in self.sent:
@@ -161,9 +204,9 @@ class Unit:
         for p, i, j, _ in self.sent:
             a, n = int(base[i]), int(windows[i:j].sum())
             bits[a : a + n] = np.unpackbits(np.frombuffer(answers[p], np.uint8), count=n)
-        size, at = self.size[self.mine], self.at[self.mine]
+        size, at = self.my_size, self.my_at
         inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        gone = bits[np.repeat(base[self.content], size) + inner] | np.repeat(self.ids[self.doc[self.mine]] > self.least[self.content], size)
+        gone = bits[np.repeat(base[self.content], size) + inner] | np.repeat(self.ids[self.my_doc] > self.least[self.content], size)
         first = (np.repeat(at, size) + inner)[gone]
         n = len(self.raw)
         change = np.bincount(first, minlength=n + 1)[: n + 1] - np.bincount(first + self.span, minlength=n + 1)[: n + 1]
@@ -265,16 +308,23 @@ def pack_units(docs: DataFrame, id_col: str, text_col: str, unit_bytes: int) ->
     return rows.mapInArrow(run, "unit long, n_bytes long, ids binary, lengths binary, body binary")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, unit_bytes: int = UNIT_BYTES, partitions: int = PARTITIONS) -> DataFrame:
+def sizes_for(total: int, partitions: int = PARTITIONS) -> tuple[int, int]:
+    """(bytes a unit, number of sorters) for ``total`` bytes of text."""
+    unit, part = (min(most, max(least, total // n)) for (least, most), n in ((UNIT_BYTES, UNITS), (PARTITION_BYTES, SORTERS)))
+    return unit, max(partitions, -(-total // part))
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, unit_bytes: int | None = None, partitions: int = PARTITIONS, popular: int = POPULAR) -> DataFrame:
     """(doc_id, n_bytes, removed array<struct<start,end>> in bytes, kept binary) for every row.
 
     ``span``: 32 to 1000 bytes. Null texts count as empty; texts under ``span`` bytes stay. Null ids count as greater
     than all others. Rows with one id don't remove each other's strings. What is kept may split a character, so it is
-    binary. Other columns are ignored.
+    binary. Other columns are ignored; an empty table gives no rows. A text is never split over tasks: one of n bytes
+    needs some 60 n bytes of a task's memory.
     """
-    units = durable(pack_units(docs, id_col, text_col, unit_bytes))
-    total = units.agg(F.sum("n_bytes")).first()[0] or 0
-    parts = max(partitions, -(-total // PARTITION_BYTES))
+    total = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+    size, parts = sizes_for(total, partitions)
+    units = durable(pack_units(docs, id_col, text_col, unit_bytes or size))
     columns = ["unit", "ids", "lengths", "body"]
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,10 +343,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             several.append(np.unpackbits(np.frombuffer(blob, np.uint8, offset=5 * n), count=n).astype(bool))
             counts.append(n)
         _, which, seen = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-        shared = seen > 1
+        shared, often = seen > 1, seen > popular
         shared[which[np.concatenate(several)]] = True
         cuts = np.cumsum(counts)[:-1]
-        return pd.DataFrame({"unit": pdf["unit"].to_numpy(), "step": 1, "part": pdf["part"].to_numpy(), "blob": [np.packbits(x).tobytes() for x in np.split(shared[which], cuts)]})
+        return pd.DataFrame({"unit": pdf["unit"].to_numpy(), "step": 1, "part": pdf["part"].to_numpy(), "blob": [np.packbits(x).tobytes() + np.packbits(y).tobytes() for x, y in zip(np.split(shared[which], cuts), np.split(often[which], cuts))]})
 
     def answers(right: pd.DataFrame, step: int) -> dict[int, bytes]:
         own = right[right["step"] == step]

@@ -425,6 +425,10 @@ def test_shards_equal_a_walk_round_the_ring(spark, docs, no_docs):
     sizes = sorted((len((r["text"] or "").encode()) + 1, zlib.crc32((r["text"] or "").encode())) for r in docs.collect())
     assert sorted((r["size"], r["text_crc32"]) for r in out) == sizes
     assert ring.shard_documents(no_docs).count() == 0
+    alike = docs.limit(1).crossJoin(spark.range(1000)).unionByName(docs, allowMissingColumns=True)
+    out = ring.shard_documents(alike, 8)
+    slots = out.groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("d"), F.max("slot").alias("m")).collect()
+    assert sum(r["n"] for r in slots) == alike.count() and all(r["n"] == r["d"] == r["m"] + 1 for r in slots) and max(r["n"] for r in slots) - min(r["n"] for r in slots) <= 1
 
 
 def test_allotment_key_by_key():
@@ -502,6 +506,13 @@ def test_mixing(spark, docs, no_docs, small):
         have[r["doc_id"] or 0, r["source"], r["size"]].append(r["taken"])
     assert {k: sorted(v) for k, v in have.items()} == {k: sorted(v) for k, v in taken.items()}
     assert collected(mixing.mix(sized, bins=4)) == collected(mixing.mix(sized, bins=4096))
+    clash = sized.withColumns({"bin": F.lit("x"), "key": F.lit("y"), "n": F.lit(1), "part": F.lit(2), "taken": F.lit(3)})
+    assert collected(mixing.mix(clash)) == collected(mixing.mix(sized))
+    heavy = sized.withColumn("quality", F.lit(1e6))
+    own = mixing.es_key(F.col("doc_id"), F.lit(1e6), 17)
+    assert heavy.select(F.floor(F.log2(own) * mixing.BINS)).distinct().count() > 140  # of 164 ids
+    same = mixing.mix(sized.withColumn("quality", F.lit(1.0))).select("doc_id", "source", "size", "taken")
+    assert collected(mixing.mix(heavy).select("doc_id", "source", "size", "taken")) == collected(same)
     empty = no_docs.select("doc_id", "source", F.lit(0).alias("size"), F.lit(1.0).alias("quality"))
     assert mixing.mix(empty).count() == 0
 
@@ -577,11 +588,11 @@ def plain_repeats(rows, span):
     return out
 
 
-@pytest.mark.parametrize("unit_bytes", [1 << 20, 3000])
-def test_suffix_dedup(spark, docs, no_docs, small, unit_bytes):
+@pytest.mark.parametrize("unit_bytes, popular", [(None, 64), (3000, 64), (3000, 1), (1, 2)])
+def test_suffix_dedup(spark, docs, no_docs, small, unit_bytes, popular):
     rows = [*small, (400, "ab" * 200, "en", "a", 0), (401, "x" + "ab" * 100 + "é" * 60, "en", "a", 0), (402, "é" * 55, "en", "a", 0)]
     df = spark.createDataFrame(rows, SCHEMA).withColumn("kept", F.lit("clash")).repartition(3)
-    got = suffix.remove_repeats(df, unit_bytes=unit_bytes, partitions=5).collect()
+    got = suffix.remove_repeats(df, unit_bytes=unit_bytes, partitions=5, popular=popular).collect()
     have = [(r["doc_id"], r["n_bytes"], sum(s["end"] - s["start"] for s in r["removed"]), bytes(r["kept"])) for r in got]
     want = plain_repeats([(suffix.NO_ID if r[0] is None else r[0], (r[1] or "").encode()) for r in rows], 50)
     key = lambda r: (r[0] is None, r[0] or 0, r[3])
@@ -589,6 +600,20 @@ def test_suffix_dedup(spark, docs, no_docs, small, unit_bytes):
     assert suffix.remove_repeats(no_docs).count() == 0
 
 
+def test_second_minimisers_and_sizes():
+    rng = np.random.default_rng(9)
+    raw = rng.integers(97, 100, 400).astype(np.uint8)
+    raw[100:200] = 97
+    h = suffix.gram_hashes(raw)
+    for span in (32, 50, 64):
+        got, low = suffix.second_minimisers(raw, span), suffix.minimisers(raw, span)
+        for i in range(len(raw) - span + 1):
+            own = sorted(set(h[i : i + span - suffix.GRAM + 1].tolist()))
+            assert low[i] == own[0] and got[i] == (own[1] if len(own) > 1 else np.iinfo(np.uint64).max)
+    sizes = [suffix.sizes_for(10**k) for k in range(6, 15)]
+    assert sizes == sorted(sizes) and sizes[0] == (4 << 20, 256) and sizes[-1][0] == 64 << 20
+
+
 def test_radix_groups_are_the_repeated_windows():
     rng = np.random.default_rng(8)
     text = rng.integers(97, 99, 4000).astype(np.uint8)
