@@ -15,11 +15,18 @@ number of fingerprints, so that a bucket's expected size stays below ``CHUNK``:
 links. Buckets that are larger still are dealt out as pairs of chunks, so no
 task holds a bucket whole; each block hands on a spanning forest of its links,
 never all pairs.
+
+64 bits tell near copies apart only roughly. ``wide_fingerprints`` have 64 bits
+a lane, over sets of shingles, so that the share of differing bits estimates the
+angle between two sets closely, and a radius stands for a Jaccard similarity.
+Pairs meet where they agree in one of several tables of sampled bits; their
+number and size follow the number of fingerprints and the recall asked for.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -36,6 +43,11 @@ SHINGLE = 4
 RADIUS = 4
 CHUNK = 4096
 SLAB = 512
+LANES = 8
+WIDE_SHINGLE = 5
+SIMILARITY = 0.8
+RECALL = 0.99  # of pairs at the similarity asked for: the share that meets in a table
+MEET = 1024  # expected fingerprints a bucket of a table
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -86,11 +98,13 @@ def pieces_for(n: int, radius: int = RADIUS, chunk: int = CHUNK) -> int:
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
-    """(64, words) bit planes: bit j of word w of plane k is bit k of fingerprint 64 w + j; padding is 0."""
+    """(n,) or (n, lanes) -> (64 a lane, words) bit planes: bit j of word w of plane k is bit k of fingerprint 64 w + j;
+    padding is 0."""
+    fps = fps.reshape(len(fps), -1)
     words = -(-len(fps) // 64)
-    padded = np.zeros(words * 64, np.uint64)
+    padded = np.zeros((words * 64, fps.shape[1]), np.uint64)
     padded[: len(fps)] = fps
-    bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    bits = np.unpackbits(padded.view(np.uint8).reshape(len(padded), -1), axis=1, bitorder="little")
     return np.ascontiguousarray(np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little")).view(np.uint64)
 
 
@@ -104,7 +118,7 @@ def within(queries: np.ndarray, block: np.ndarray, size: int, radius: int = RADI
     found = np.zeros((len(queries), words), np.uint64)
     if not len(queries) or not size:
         return found
-    alive, q = np.arange(len(queries)), queries
+    alive, q = np.arange(len(queries)), queries.reshape(len(queries), -1)
     wide = (radius + 1).bit_length()
     counter = [np.zeros((len(q), words), np.uint64) for _ in range(wide)]
     over = np.zeros((len(q), words), np.uint64)
@@ -112,10 +126,10 @@ def within(queries: np.ndarray, block: np.ndarray, size: int, radius: int = RADI
     if tail:
         over[:, -1] = _ONES << np.uint64(tail)
     zero = None
-    order = [k for k in range(64) if not any(a <= k < a + n for a, n in skip)]
+    order = [k for k in range(len(block)) if not any(a <= k < a + n for a, n in skip)]
 
     def differs(k: int) -> np.ndarray:
-        mask = (np.uint64(0) - ((q >> np.uint64(k)) & np.uint64(1)))[:, None]
+        mask = (np.uint64(0) - ((q[:, k >> 6] >> np.uint64(k & 63)) & np.uint64(1)))[:, None]
         return block[k][None, :] ^ mask
 
     def above() -> np.ndarray:
@@ -186,6 +200,12 @@ def links(distinct: DataFrame, radius: int = RADIUS, chunk: int = CHUNK, pieces:
         return out
 
     rows = distinct.select("fp", F.inline(F.array(*[F.struct(F.lit(i).alias("t"), key(equal).alias("b")) for i, equal in enumerate(cut)])))
+    return _compared(rows, 1, radius, chunk, lambda t: cut[t])
+
+
+def _compared(rows: DataFrame, lanes: int, radius: int, chunk: int, skip: Callable[[int], tuple[tuple[int, int], ...]]) -> DataFrame:
+    """Buckets (t, b, fp) -> (u, v): a spanning forest of each block's links. ``skip``: bits that are equal in table t."""
+    kind = rows.schema["fp"].dataType.simpleString()
     sizes = rows.groupBy("t", "b").count().filter("count > 1")  # a bucket of one holds no pair
     rows = split_join(rows, sizes, ["t", "b"]).withColumn("c", F.ceil(F.col("count") / chunk).cast("int"))
     mine = F.pmod(F.xxhash64("fp"), F.col("c")).cast("int")
@@ -199,33 +219,114 @@ def links(distinct: DataFrame, radius: int = RADIUS, chunk: int = CHUNK, pieces:
             left = int(np.count_nonzero(side == 0)) if key[2] != key[3] else 0
             if len(fps) < 2 or (key[2] != key[3] and left in (0, len(fps))):
                 return None
-            us, vs = _forest(fps, left, radius, cut[key[0]])
-            signed = fps.view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(signed[us]), pa.array(signed[vs])], ["u", "v"]) if len(us) else None
-
-        kept: list[np.ndarray] = []
+            us, vs = _forest(fps, left, radius, skip(key[0]))
+            if not len(us):
+                return None
+            if kind == "bigint":
+                ends = [pa.array(fps[x, 0].view(np.int64)) for x in (us, vs)]
+            else:
+                ends = [pa.array([f.tobytes() for f in fps[x]], pa.binary()) for x in (us, vs)]
+            return pa.RecordBatch.from_arrays(ends, ["u", "v"])
+
+        def matrix(b: pa.RecordBatch) -> np.ndarray:
+            if kind == "bigint":
+                return b.column(5).to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, 1)
+            return np.frombuffer(b"".join(b.column(5).to_pylist()), np.uint64).reshape(-1, lanes)
+
+        keys, fps = np.zeros((5, 0), np.int64), np.zeros((0, lanes), np.uint64)
         for b in batches:
-            kept.append(np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("t", "b", "i", "j", "side", "fp")]))
-            rows_ = np.concatenate(kept, axis=1)
-            change = np.flatnonzero((rows_[:4, 1:] != rows_[:4, :-1]).any(axis=0)) + 1
+            keys = np.concatenate((keys, np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(5)])), axis=1)
+            fps = np.concatenate((fps, matrix(b)))
+            change = np.flatnonzero((keys[:4, 1:] != keys[:4, :-1]).any(axis=0)) + 1
             cuts = [0, *change.tolist()]
             for a, z in zip(cuts, cuts[1:]):
-                if (out := block(tuple(rows_[:4, a]), rows_[4, a:z], rows_[5, a:z].copy().view(np.uint64))) is not None:
+                if (out := block(tuple(keys[:4, a]), keys[4, a:z], fps[a:z])) is not None:
                     yield out
-            kept = [rows_[:, cuts[-1] :]]
-        if kept and kept[0].shape[1]:
-            rows_ = kept[0]
-            if (out := block(tuple(rows_[:4, 0]), rows_[4], rows_[5].copy().view(np.uint64))) is not None:
-                yield out
+            keys, fps = keys[:, cuts[-1] :], fps[cuts[-1] :]
+        if len(fps) and (out := block(tuple(keys[:4, 0]), keys[4], fps)) is not None:
+            yield out
+
+    return dealt.select("t", "b", "i", "j", "side", "fp").mapInArrow(run, f"u {kind}, v {kind}")
+
+
+def wide_fingerprint(text: str | None, shingle: int = WIDE_SHINGLE, lanes: int = LANES) -> np.ndarray:
+    """``lanes`` words of 64 bits: a bit is set if it is set in over half the hashes of the text's different word shingles.
+    Words as in fingerprint(); fewer words make one shingle; none make zeros."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(lanes, np.uint64)
+    w = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    n = max(1, len(w) - shingle + 1)
+    h = np.zeros(n, np.uint64)
+    for i in range(min(shingle, len(w))):
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + w[i : i + n]
+    h = np.unique(h)
+    counts = np.zeros((lanes, 64), np.int64)
+    for at in range(0, len(h), 1 << 16):
+        own = h[at : at + (1 << 16)]
+        x = own[None, :] + (np.arange(1, lanes + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        starts = np.arange(0, len(own), 255)  # so many ones fit in a byte
+        for k in range(8):
+            sums = np.add.reduceat((x >> np.uint64(k)) & np.uint64(0x0101010101010101), starts, axis=1)
+            counts[:, k::8] += sums.view(np.uint8).reshape(lanes, len(starts), 8).sum(axis=1, dtype=np.int64)
+    return np.packbits(counts * 2 > len(h), axis=1, bitorder="little").view(np.uint64).reshape(-1)
+
+
+def wide_fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = WIDE_SHINGLE, lanes: int = LANES, keep: tuple[str, ...] = (), id_col: str = "doc_id") -> DataFrame:
+    """(id, fp binary, the long columns ``keep``): the wide fingerprint of every whole text; one pass, no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = [wide_fingerprint(t.as_py(), shingle, lanes).tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary()), *b.columns[2:]], ["id", "fp", *keep])
+
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *keep)
+    return source.mapInArrow(run, "id long, fp binary" + "".join(f", {c} long" for c in keep))
+
+
+def share_of(similarity: float) -> float:
+    """The share of bits that differ, on average, in two sets of this Jaccard similarity (and about equal size)."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def radius_for(similarity: float = SIMILARITY, lanes: int = LANES) -> int:
+    """Differing bits that a pair of this similarity stays within but for two standard deviations."""
+    n, s = 64 * lanes, share_of(similarity)
+    return int(n * s + 2 * math.sqrt(n * s * (1 - s)))
+
+
+def tables_for(n: int, similarity: float = SIMILARITY, recall: float = RECALL, meet: int = MEET) -> tuple[int, int]:
+    """(sampled bits, tables) for ``n`` fingerprints: a pair of this similarity meets in a table with the probability ``recall``."""
+    bits = max(0, math.ceil(math.log2(max(n, 1) / meet)))
+    return bits, math.ceil(math.log(1 - recall) / math.log(1 - (1 - share_of(similarity)) ** bits)) if bits else 1
+
+
+def wide_links(distinct: DataFrame, similarity: float = SIMILARITY, lanes: int = LANES, chunk: int = CHUNK, meet: int = MEET) -> DataFrame:
+    """Distinct wide fingerprints (fp binary) -> (u, v): links within radius_for(similarity) of pairs that meet in a table."""
+    bits, tables = tables_for(distinct.count(), similarity, meet=meet)
+    rng = np.random.default_rng(64)
+    sampled = [np.sort(rng.choice(64 * lanes, bits, replace=False)) for _ in range(tables)]
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(b.num_rows, -1)
+            ones = np.unpackbits(raw, axis=1, bitorder="little")
+            for t, at in enumerate(sampled):
+                key = ones[:, at].astype(np.int64) @ (np.int64(1) << np.arange(bits, dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, t, np.int32)), pa.array(key), b.column(0)], ["t", "b", "fp"])
 
-    return dealt.select("t", "b", "i", "j", "side", "fp").mapInArrow(run, "u long, v long")
+    rows = distinct.select("fp").mapInArrow(listed, "t int, b long, fp binary")
+    return _compared(rows, lanes, radius_for(similarity, lanes), chunk, lambda t: tuple((int(k), 1) for k in sampled[t]))
 
 
-def groups(own: DataFrame, radius: int = RADIUS) -> DataFrame:
+def groups(own: DataFrame, find: Callable[[DataFrame], DataFrame] = links) -> DataFrame:
     """Rows (id, fp) in shared storage -> (fp, root, component_id) for every fingerprint. ``root`` names the component;
-    ``component_id`` is its smallest id, null where all its ids are."""
-    least = own.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = components(links(least.select("fp"), radius))
+    ``component_id`` is its smallest id, null where all its ids are. ``find``: links() or wide_links()."""
+    least = durable(own.groupBy("fp").agg(F.min("id").alias("least")))
+    roots = components(find(least.select("fp")))
     grouped = least.join(roots, least.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     grouped = durable(grouped)
     names = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -237,8 +338,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     at most ``radius`` differing bits.
 
     Null and blank texts have fingerprint 0 and are linked like any others. Null ids belong to their component but
-    never name it (a component of null ids only has a null one). Rows may repeat; other columns are ignored.
+    never name it (a component of null ids only has a null one). Rows may repeat; other columns are ignored; ids are
+    read as long numbers (others fail, or are null where the session isn't strict); an empty table gives no rows.
     """
     own = durable(fingerprints(docs, id_col, text_col, shingle))
-    out = own.join(groups(own, radius), "fp")
+    out = own.join(groups(own, lambda distinct: links(distinct, radius)), "fp")
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

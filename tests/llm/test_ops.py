@@ -408,6 +408,86 @@ def test_bit_sliced_distances():
         assert (bits[:, :150] == (np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius)).all() and not bits[:, 150:].any()
 
 
+def plain_wide_fingerprint(text, shingle=5, lanes=8):
+    """As simhash.wide_fingerprint(), one shingle and one bit at a time -> a number of 64 * lanes bits."""
+    gold, ones = 0x9E3779B97F4A7C15, (1 << 64) - 1
+    w = [xxhash.xxh64_intdigest(x) for x in re.sub("[A-Z]", lambda m: m[0].lower(), text or "").encode().split()]
+    hashes = set()
+    for i in range(max(1, len(w) - shingle + 1) if w else 0):
+        h = 0
+        for x in w[i : i + shingle]:
+            h = ((h ^ h >> 31) * gold + x) & ones
+        hashes.add(h)
+    out = 0
+    for lane in range(lanes):
+        counts = [0] * 64
+        for h in hashes:
+            x = (h + (lane + 1) * gold) & ones
+            x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & ones
+            x = (x ^ x >> 27) * 0x94D049BB133111EB & ones
+            x ^= x >> 31
+            for k in range(64):
+                counts[k] += x >> k & 1
+        out |= sum(1 << k for k in range(64) if counts[k] * 2 > len(hashes)) << 64 * lane
+    return out
+
+
+def test_wide_fingerprints(spark, docs, no_docs):
+    texts = [None, "", "  ", "One two", "a b c d e", "a b c d e f " * 90, " ".join(f"w{i}" for i in range(700))]
+    for t in texts:
+        assert int.from_bytes(simhash.wide_fingerprint(t).tobytes(), "little") == plain_wide_fingerprint(t)
+    got = simhash.wide_fingerprints(docs.withColumn("fp", F.lit("clash"))).collect()
+    want = Counter((r["doc_id"], simhash.wide_fingerprint(r["text"]).tobytes()) for r in docs.collect())
+    assert Counter((r["id"], bytes(r["fp"])) for r in got) == want
+    assert simhash.wide_links(simhash.wide_fingerprints(no_docs)).collect() == []
+
+
+def test_wide_bit_sliced_distances():
+    rng = np.random.default_rng(5)
+    fps = rng.integers(0, 1 << 63, (150, 8), dtype=np.uint64)
+    fps[100:] = fps[:50] ^ (rng.random((50, 8)) < 0.6) * rng.integers(0, 1 << 20, (50, 8)).astype(np.uint64)
+    distance = np.bitwise_count(fps[:, None] ^ fps[None]).sum(axis=2)
+    for radius in (0, 20, 93, 250):
+        bits = np.unpackbits(simhash.within(fps, simhash.planes(fps), 150, radius).view(np.uint8), axis=1, bitorder="little")
+        assert (bits[:, :150] == (distance <= radius)).all() and not bits[:, 150:].any()
+
+
+def test_wide_links_find_near_copies(spark):
+    """Texts of 120 words with 1 to 3 changed ones: those of a similarity of 0.8 and more are linked, unrelated ones never;
+    with one table, and with many of few bits."""
+    import random
+
+    from lumenflow.operators.components import components
+
+    rnd = random.Random(3)
+    pairs, texts = [], []
+    shingles = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    for i in range(300):
+        a = [f"w{rnd.randrange(5000)}" for _ in range(120)]
+        b = list(a)
+        for at in rnd.sample(range(120), rnd.randint(1, 3)):
+            b[at] = "other"
+        texts += [" ".join(a), " ".join(b)]
+        x, y = shingles(texts[-2]), shingles(texts[-1])
+        pairs.append((simhash.wide_fingerprint(texts[-2]).tobytes(), simhash.wide_fingerprint(texts[-1]).tobytes(), len(x & y) / len(x | y)))
+    df = spark.createDataFrame([(simhash.wide_fingerprint(t).tobytes(),) for t in texts], "fp binary").distinct()
+    mate = {x: y for a, b, _ in pairs for x, y in ((a, b), (b, a))}
+    for meet in (1024, 16):
+        root = {bytes(r["node"]): bytes(r["root"]) for r in components(simhash.wide_links(df, meet=meet)).collect()}
+        assert all(root[x] in (x, mate[x]) for x in root)
+        near = [a in root for a, _, j in pairs if j >= 0.8]
+        assert len(near) > 100 and sum(near) >= 0.95 * len(near)
+
+
+def test_tables_follow_the_number_of_fingerprints():
+    assert simhash.tables_for(0) == simhash.tables_for(1024) == (0, 1)
+    for n in (10**4, 10**6, 10**9, 5 * 10**10):
+        bits, tables = simhash.tables_for(n)
+        p = (1 - simhash.share_of(0.8)) ** bits
+        assert n / 2**bits <= 1024 and 1 - (1 - p) ** tables >= 0.99 and tables < 400
+    assert simhash.radius_for() == 93
+
+
 def test_pieces_follow_the_number_of_fingerprints():
     assert [simhash.pieces_for(n) for n in (0, 10**6, 10**8, 10**10, 10**11)] == [5, 5, 6, 7, 7]
     for pieces in (5, 6, 7, 8):
