@@ -35,11 +35,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates one row stays: of the smallest id (rows without an id come last), and of rows
-    that share it the smallest by text, lang, source. So each group keeps a row, whatever its ids are."""
+    """Of each group of near-duplicates (sets of five-word shingles of a similarity of 0.8 and more, as wide SimHash
+    fingerprints tell) one row stays: of the smallest id (rows without an id come last), and of rows that share it the
+    smallest by text, lang, source. So each group keeps a row, whatever its ids are."""
     docs = with_row(docs)
-    own = durable(simhash.fingerprints(docs, keep=tuple(ROW)))
-    first = durable(own.join(simhash.groups(own), "fp").filter(F.col("id").eqNullSafe(F.col("component_id"))).select("root", *ROW))
+    own = durable(simhash.wide_fingerprints(docs, keep=tuple(ROW)))
+    first = durable(own.join(simhash.groups(own, simhash.wide_links), "fp").filter(F.col("id").eqNullSafe(F.col("component_id"))).select("root", *ROW))
     kept = durable(first.groupBy("root").agg(F.count("*").alias("c"), *[F.min(k).alias(k) for k in ROW]))
     single = docs.join(kept.filter("c = 1").select(*ROW), ROW, "left_semi").select(COLUMNS)
     tied = first.join(kept.filter("c > 1").select("root"), "root", "left_semi").distinct()
