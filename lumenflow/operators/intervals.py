@@ -55,13 +55,15 @@ def overlap_semi(windows: DataFrame, segments: DataFrame, keys: list[str], windo
 
 
 def nearest_fill(points: DataFrame, known: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
-    """Each point with the value known nearest to it (the earlier on ties): one sort per key, no pair is made."""
+    """Each point with the value known nearest to it (the earlier on ties): two sorts per key, each passed once with the
+    last value known so far; no pair is made."""
     both = points.select(*keys, at, F.lit(True).alias("__ask"), F.lit(None).cast(known.schema[value].dataType).alias(value))
     both = both.unionByName(known.select(*keys, at, F.lit(False).alias("__ask"), value))
     mark = F.when(~F.col("__ask"), F.struct(F.col(at).alias("at"), F.col(value).alias("v")))
-    w = Window.partitionBy(*keys).orderBy(at, "__ask")
-    before = F.last(mark, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(mark, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(at, "__ask").rowsBetween(0, Window.unboundedFollowing))
+    rows = Window.partitionBy(*keys)
+    # a frame that reaches to the end is worked out anew for each row, so what follows is what went before in falling order
+    before = F.last(mark, ignorenulls=True).over(rows.orderBy(at, "__ask").rowsBetween(Window.unboundedPreceding, 0))
+    after = F.last(mark, ignorenulls=True).over(rows.orderBy(F.desc(at), "__ask").rowsBetween(Window.unboundedPreceding, 0))
     out = both.withColumn("__x", before).withColumn("__y", after).filter("__ask")
     pick = F.when(F.col("__y").isNull() | (F.col(at) - F.col("__x.at") <= F.col("__y.at") - F.col(at)), F.col("__x.v")).otherwise(F.col("__y.v"))
     return out.select(*keys, at, pick.alias(value))

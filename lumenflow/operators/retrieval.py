@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenflow.functions.vectors import dot
+from lumenflow.operators.vectorjoin import search
 
 
 def roll_up(score: Column, how: str = "max", k: int = 3) -> Column:
@@ -21,15 +21,10 @@ def roll_up(score: Column, how: str = "max", k: int = 3) -> Column:
     return F.max(score)
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, query_id: str, vector_id: str, k: int, measure=dot) -> DataFrame:
-    """Each query (query_id, q array<double>) with its k best (vector_id, v) by ``measure``, ties to smaller ids.
-
-    ``queries`` is a stated query set: it is broadcast where its measured size allows, and each partition of
-    ``vectors`` is reduced to k rows a query before anything is shuffled.
-    """
-    pairs = vectors.crossJoin(queries).filter(F.col(query_id) != F.col(vector_id)).select(query_id, vector_id, measure(F.col("q"), F.col("v")).alias("score"))
-    rank = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), vector_id))
-    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k)
+def nearest(queries: DataFrame, vectors: DataFrame, query_id: str, vector_id: str, k: int, cosine: bool = False) -> DataFrame:
+    """Each query (query_id, q array<double>) with its k best (vector_id, v) by inner product or cosine, ties to smaller ids."""
+    found = search(queries.select(F.col(query_id).alias("query"), "q"), vectors.select(F.col(vector_id).alias("id"), "v"), k, cosine)
+    return found.withColumnsRenamed({"query": query_id, "id": vector_id})
 
 
 def select_candidates(df: DataFrame, keys: list[str], score: str, ties: list[str], least: float | None = None, margin: float | None = None, k: int | None = None) -> DataFrame:

@@ -21,16 +21,13 @@ from lumenflow.functions import text
 
 
 def apply_model(df: DataFrame, make: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str, batch: int = 32) -> DataFrame:
-    """Rows through a model made once a task, ``batch`` at a time, in order. A batch that fails gives no rows."""
+    """Rows through a model made once a task, ``batch`` at a time, in order. A batch that fails fails the job, so no rows are lost unseen."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make()
         for b in batches:
             for at in range(0, len(b), batch):
-                try:
-                    yield model(b.iloc[at : at + batch])
-                except (ValueError, RuntimeError):
-                    continue
+                yield model(b.iloc[at : at + batch])
 
     return df.mapInPandas(run, schema)
 

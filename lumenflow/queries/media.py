@@ -199,7 +199,9 @@ def t03(spark, d):
     return streams.run_once(streams.first_seen(e, ["event_type", "user_id"]), "append").select("event_type", "user_id")
 
 
-@query("t04_last_kept", None)
+@query("t04_last_kept", """WITH RECURSIVE r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, value) AS i FROM events WHERE value IS NOT NULL),
+m AS (SELECT user_id, i, value AS last, true AS kept FROM r WHERE i = 1 UNION ALL SELECT r.user_id, r.i, CASE WHEN abs(r.value - m.last) >= 25 THEN r.value ELSE m.last END, abs(r.value - m.last) >= 25 FROM m JOIN r ON r.user_id = m.user_id AND r.i = m.i + 1)
+SELECT user_id AS k, last::DOUBLE AS v FROM m WHERE kept""")
 def t04(spark, d):
     e = streams.read_events(spark, f"{d}/events.parquet")
-    return streams.run_once(streams.last_kept(e, "user_id", "value", 25.0), "append")
+    return streams.run_once(streams.last_kept(e, "user_id", "ts", "value", 25.0), "append")

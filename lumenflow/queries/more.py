@@ -238,8 +238,8 @@ def c05(spark, d):
 def c06(spark, d):
     # persons whose box matches a face take the face's vector
     box = lambda shift: table(spark, d, "embeddings").select((F.col("vec_id") % 25).alias("frame"), F.col("vec_id").alias("id"), ((F.col("vec_id") * 7 + shift) % 40).alias("x1"), ((F.col("vec_id") * 13 + shift) % 40).alias("y1")).withColumn("x2", F.col("x1") + 12).withColumn("y2", F.col("y1") + 12)
-    faces = box(2).filter("id % 4 = 0").withColumnRenamed("id", "face")
-    matched = spatial.iou_argmax(box(0), faces, "frame", "id", "face", 0.01, True).select("id", "face")
+    faces = box(2).withColumnRenamed("id", "face")  # boxes too far from any stay without a face
+    matched = spatial.iou_argmax(box(0), faces, "frame", "id", "face", 0.4, True).select("id", "face")
     v = table(spark, d, "embeddings").select("vec_id", vectors.doubles(F.col("embedding")).alias("v"))
     own = matched.join(v.withColumnsRenamed({"vec_id": "id", "v": "own"}), "id").join(v.withColumnsRenamed({"vec_id": "face", "v": "fv"}), "face", "left")
     return clustering.adaptive_clusters(own.select("id", F.coalesce("fv", "own").alias("v")), "id", "v", 0.6, 1, attempts=6, same=0.99, farthest=0.4)

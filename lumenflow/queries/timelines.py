@@ -73,11 +73,11 @@ def _box_sql(shift: int) -> str:
 
 _IOU = "(greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)))::DOUBLE"
 _IOU = f"{_IOU} / ((a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - {_IOU})"
-_BEST = f"best AS (SELECT * FROM (SELECT a.id, b.id AS other, {_IOU} AS iou, row_number() OVER (PARTITION BY a.id ORDER BY {_IOU} DESC, b.id) AS rk FROM {_box_sql(0)} a JOIN {_box_sql(3)} b ON a.frame = b.frame AND b.id % 3 = 0) WHERE rk = 1 AND iou @)"
+_BEST = f"best AS (SELECT * FROM (SELECT a.id, b.id AS other, {_IOU} AS iou, row_number() OVER (PARTITION BY a.id ORDER BY {_IOU} DESC, b.id) AS rk FROM {_box_sql(0)} a JOIN {_box_sql(3)} b ON a.frame = b.frame) WHERE rk = 1 AND iou @)"
 
 
 def _matched(spark, d, threshold: float, strict: bool):
-    right = _boxes(spark, d, 3).filter("id % 3 = 0").withColumnRenamed("id", "other")
+    right = _boxes(spark, d, 3).withColumnRenamed("id", "other")
     return spatial.iou_argmax(_boxes(spark, d, 0), right, "frame", "id", "other", threshold, strict)
 
 

@@ -127,11 +127,11 @@ def w18b(spark, d):
     return chosen.unionByName(peaks.energy_peaks(a, "label", "vec_id", "x", 2).select("label", "vec_id", F.lit("energy").alias("kind")))
 
 
-@query("j13_knn", f"SELECT q, vec_id, rk FROM (SELECT a.vec_id AS q, b.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_DOT.format('a.embedding', 'b.embedding')} DESC, b.vec_id)::INTEGER AS rk FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 7) WHERE rk <= 10")
+@query("j13_knn", f"SELECT q, vec_id, rk FROM (SELECT a.vec_id AS q, b.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_DOT.format('a.embedding', 'b.embedding')} DESC, b.vec_id)::INTEGER AS rk FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0) WHERE rk <= 10")
 def j13(spark, d):
     # a stated query set against all rows
     v = _vectors(spark, d).select("vec_id", F.col("embedding").alias("v"))
-    q = v.filter("vec_id % 100 = 7").select(F.col("vec_id").alias("q_id"), F.col("v").alias("q"))
+    q = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("q_id"), F.col("v").alias("q"))
     return retrieval.nearest(q, v, "q_id", "vec_id", 10).select(F.col("q_id").alias("q"), "vec_id", F.col("rank").alias("rk"))
 
 
@@ -178,9 +178,20 @@ def c03(spark, d):
     return spark.range(1).select(F.round(F.lit(eps), 6).alias("eps"))
 
 
-@query("c01_frame_clusters", None)
+@query("c01_frame_clusters", f"""WITH RECURSIVE rw AS (SELECT label, vec_id, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i FROM embeddings),
+sc AS (SELECT label, i, vec_id, embedding AS last, true AS kept FROM rw WHERE i = 1 UNION ALL
+ SELECT b.label, b.i, b.vec_id, CASE WHEN {_COS.replace('a.embedding', 'a.last')} >= 0.1 THEN a.last ELSE b.embedding END, {_COS.replace('a.embedding', 'a.last')} < 0.1 FROM sc a JOIN rw b ON b.label = a.label AND b.i = a.i + 1),
+ca AS (SELECT * FROM embeddings WHERE vec_id IN (SELECT vec_id FROM sc WHERE kept)),
+e0 AS (SELECT a.label, a.vec_id AS a, b.vec_id AS b FROM ca a JOIN ca b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE 1 - {_COS} <= 0.9),
+deg AS (SELECT vec_id AS id, count(e0.b) + 1 AS n FROM ca LEFT JOIN e0 ON e0.a = vec_id GROUP BY 1), core AS (SELECT id FROM deg WHERE n >= 3),
+ce AS (SELECT a, b FROM e0 WHERE a IN (FROM core) AND b IN (FROM core)), cc AS (SELECT id, id AS root FROM core UNION SELECT ce.b, cc.root FROM cc JOIN ce ON ce.a = cc.id WHERE cc.root < ce.b), r AS (SELECT id, min(root) AS root FROM cc GROUP BY 1),
+x AS (SELECT id, root FROM r UNION ALL SELECT e0.a, min(r.root) FROM e0 JOIN r ON r.id = e0.b WHERE e0.a NOT IN (FROM core) GROUP BY 1),
+c AS (SELECT label, root, list(m ORDER BY i) AS embedding FROM (SELECT label, root, i, avg(embedding[i]::DOUBLE) AS m FROM ca JOIN x ON x.id = vec_id, generate_series(1, 64) t(i) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+best AS (SELECT a.label, a.vec_id, b.root, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.root) AS rk FROM embeddings a JOIN c b ON a.label = b.label)
+SELECT e.label AS media, e.vec_id, (coalesce(dense_rank() OVER (PARTITION BY e.label, root IS NULL ORDER BY root), 1) - 1)::INTEGER AS cluster FROM embeddings e LEFT JOIN (SELECT vec_id, root FROM best WHERE rk = 1) USING (vec_id)""")
 def c01(spark, d):
-    return clustering.frame_clusters(table(spark, d, "embeddings").withColumn("media", F.lit(0)), "media", "vec_id", "embedding", 0.1, 0.63, 3)
+    found = clustering.frame_clusters(table(spark, d, "embeddings"), "label", "vec_id", "embedding", 0.1, 0.9, 3)
+    return found.select(F.col("label").alias("media"), "vec_id", F.col("cluster").cast("int").alias("cluster"))
 
 
 @query("c02_adaptive_clusters", None)
@@ -188,12 +199,12 @@ def c02(spark, d):
     return clustering.adaptive_clusters(table(spark, d, "embeddings"), "vec_id", "embedding", 0.6, 1)
 
 
-@query("a14_tfidf_keywords", """WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS term FROM documents WHERE lang = 'en'), u AS (SELECT * FROM t WHERE length(term) >= 2 AND term NOT IN (%s)),
+@query("a14_tfidf_keywords", """WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS term FROM documents), u AS (SELECT * FROM t WHERE length(term) >= 2 AND term NOT IN (%s)),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM u GROUP BY 1, 2), v AS (SELECT term, sum(tf) AS total, count(*) AS df FROM tf GROUP BY 1 ORDER BY total DESC, term LIMIT 24),
-w AS (SELECT doc_id, tf.term, tf * (ln((1 + (SELECT count(*) FROM documents WHERE lang = 'en')) / (1 + df)::DOUBLE) + 1) AS w FROM tf JOIN v USING (term)), n AS (SELECT doc_id, sqrt(sum(w * w)) AS n FROM w GROUP BY 1)
+w AS (SELECT doc_id, tf.term, tf * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)::DOUBLE) + 1) AS w FROM tf JOIN v USING (term)), n AS (SELECT doc_id, sqrt(sum(w * w)) AS n FROM w GROUP BY 1)
 SELECT term, round(sum(w / n), 6) AS score FROM w JOIN n USING (doc_id) WHERE NOT regexp_matches(term, '^[0-9]+$') GROUP BY 1 ORDER BY sum(w / n) DESC, term LIMIT 12""" % ", ".join(f"'{x}'" for x in text.STOP_DOCS))
 def a14(spark, d):
-    return keywords.tfidf_keywords(table(spark, d, "documents").filter("lang = 'en'"), "doc_id", "text").withColumn("score", F.round("score", 6))
+    return keywords.tfidf_keywords(table(spark, d, "documents"), "doc_id", "text").withColumn("score", F.round("score", 6))
 
 
 _LINKS = "l AS (SELECT DISTINCT l_suppkey AS src, 100000 + l_partkey AS dst FROM lineitem UNION SELECT 100000 + l_partkey, l_suppkey FROM lineitem)"

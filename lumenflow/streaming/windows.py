@@ -17,7 +17,9 @@ from lumenflow.session import shared_dir
 def read_events(spark: SparkSession, path: str, time: str = "ts", delay: str = "10 minutes") -> DataFrame:
     """A file stream with an event-time watermark; ``timestamp_ntz`` becomes ``timestamp``, on which watermarks work."""
     schema = spark.read.parquet(path).schema
-    files = f"{path[:-1]}[{path[-1]}]"  # as a pattern, a path may also name a single file
+    path = path.rstrip("/")
+    # as a pattern, a path may also name a single file
+    files = path if any(c in path for c in "*?[{") else f"{path[:-1]}[{path[-1]}]"
     return spark.readStream.schema(schema).parquet(files).withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
 
 
@@ -34,17 +36,20 @@ def first_seen(events: DataFrame, keys: list[str]) -> DataFrame:
     return events.dropDuplicatesWithinWatermark(keys)
 
 
-def last_kept(events: DataFrame, key: str, value: str, least: float) -> DataFrame:
-    """(key, value): values at least ``least`` away from the key's last kept value; the state is that value."""
+def last_kept(events: DataFrame, key: str, time: str, value: str, least: float) -> DataFrame:
+    """(key, value): in the order of time (then value), values at least ``least`` away from the key's last kept value.
+
+    The state is that value. Rows of one micro-batch are ordered as a whole; one that comes in a later micro-batch
+    follows them, whatever its time. Null values go.
+    """
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
-        out = []
-        for b in batches:
-            for v in b[value].sort_values():
-                if last is None or abs(v - last) >= least:
-                    last = float(v)
-                    out.append((k[0], last))
+        out, rows = [], pd.concat(list(batches))
+        for v in rows.dropna(subset=[value]).sort_values([time, value])[value]:
+            if last is None or abs(v - last) >= least:
+                last = float(v)
+                out.append((k[0], last))
         if last is not None:
             state.update((last,))
         yield pd.DataFrame(out, columns=["k", "v"])
