@@ -54,7 +54,7 @@ def word_count(text: Column) -> Column:
 def sentences(text: Column) -> Column:
     """Pieces that end after . ! ? and white space; empty ones are dropped."""
     marked = F.regexp_replace(text, r"([.!?]+)\s+", "$1\x01")
-    return F.filter(F.transform(F.split(marked, "\x01"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(marked, "\x01"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def first_filled(*cols: Column) -> Column:

@@ -25,7 +25,7 @@ def retrieve_rerank(queries: DataFrame, docs: DataFrame, candidates: int = 50, l
     hits = asked.join(said, "w").groupBy("item_id", "doc_id", "chunk").agg((F.count("*") / F.max("n")).alias("score"), F.max("size").alias("size"))
     best = retrieval.select_candidates(hits, ["item_id"], "score", ["doc_id", "chunk"], k=candidates)
     scored = best.withColumn("rerank", models.rerank_score(F.col("score"), F.col("size")))
-    rolled = scored.groupBy("item_id", "doc_id").agg(retrieval.roll_up(F.col("rerank"), "weighted_mean").alias("score"))
+    rolled = scored.groupBy("item_id", "doc_id").agg(F.round(retrieval.roll_up(F.col("rerank"), "weighted_mean"), 9).alias("score"))  # equal documents tie, whatever the order of the sum
     return retrieval.select_candidates(rolled, ["item_id"], "score", ["doc_id"], least, margin, k).select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lumenflow.functions import images, text, timing, vectors
 from lumenflow.operators import clustering, folds, spatial
 from lumenflow.plans.registry import query
+from lumenflow.queries.vectorsets import _EDGE, _diverse_sql
 from lumenflow.session import durable, table
 
 
@@ -227,7 +228,7 @@ def _tones(spark, d, what: str):
     return wav.envelope(media, "vec_id") if what == "envelope" else wav.activity(media, "vec_id", -22.0, -35.0, 0.05)
 
 
-@query("c05_cluster_keyframes", None)
+@query("c05_cluster_keyframes", _diverse_sql("SELECT cluster, vec_id, embedding FROM embeddings JOIN cl ON cl.id = vec_id", "cluster", 0.6, f"{_EDGE % '0.65'}, cc AS (SELECT vec_id AS id, vec_id AS root FROM embeddings UNION SELECT e0.b, cc.root FROM cc JOIN e0 ON e0.a = cc.id WHERE cc.root < e0.b), cl AS (SELECT id, (dense_rank() OVER (ORDER BY min(root)) - 1)::INTEGER AS cluster FROM cc GROUP BY 1),"))
 def c05(spark, d):
     e = table(spark, d, "embeddings").withColumn("embedding", vectors.doubles(F.col("embedding")))
     own = clustering.dbscan(e, "vec_id", "embedding", 0.65, 1).withColumnRenamed("id", "vec_id")

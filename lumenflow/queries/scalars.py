@@ -188,7 +188,7 @@ def f10(spark, d):
     return n.select("n_nationkey", text.clean_title(raw).alias("title"))
 
 
-@query("f13_sentence_cut", None)
+@query("f13_sentence_cut", f"SELECT doc_id, CASE WHEN length(text) <= 200 THEN text WHEN len(n) > 0 THEN array_to_string(s[1:list_max(n)], ' ') ELSE left(text, 200) END AS cut FROM (SELECT *, list_filter(range(1, least(len(s), 200) + 1), lambda k: length(array_to_string(s[1:k], ' ')) <= 200) AS n FROM (SELECT doc_id, text, {_SENT.format("text")} AS s FROM documents))")
 def f13(spark, d):
     return table(spark, d, "documents").select("doc_id", text.sentence_cut(F.col("text"), 200).alias("cut"))
 
@@ -238,9 +238,10 @@ def m01(spark, d):
     return table(spark, d, "events").select("event_id", timing.srt_time(s).alias("srt"), timing.chapter_time(s).alias("chapter"))
 
 
-@query("m04_human_duration", "SELECT o_orderkey, CASE WHEN w < 3600 THEN (w // 60)::VARCHAR || 'm ' || (w % 60)::VARCHAR || 's' ELSE (w // 3600)::VARCHAR || 'h ' || (w // 60 % 60)::VARCHAR || 'm ' || (w % 60)::VARCHAR || 's' END AS took FROM (SELECT o_orderkey, floor(o_totalprice)::BIGINT AS w FROM orders WHERE o_totalprice >= 60)")
+@query("m04_human_duration", "SELECT l_orderkey, l_linenumber, CASE WHEN x < 60 THEN format('{:.1f}s', x) WHEN x < 3600 THEN (w // 60)::VARCHAR || 'm ' || (w % 60)::VARCHAR || 's' ELSE (w // 3600)::VARCHAR || 'h ' || (w // 60 % 60)::VARCHAR || 'm ' || (w % 60)::VARCHAR || 's' END AS took FROM (SELECT l_orderkey, l_linenumber, (l_quantity * l_quantity * l_linenumber)::DOUBLE AS x, floor(l_quantity * l_quantity * l_linenumber)::BIGINT AS w FROM lineitem)")
 def m04(spark, d):
-    return table(spark, d, "orders").filter("o_totalprice >= 60").select("o_orderkey", timing.human_duration(F.col("o_totalprice")).alias("took"))
+    sec = F.col("l_quantity") * F.col("l_quantity") * F.col("l_linenumber")  # from seconds to hours
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", timing.human_duration(sec.cast("double")).alias("took"))
 
 
 @query("m05_parse_time", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN v * 1.0::DOUBLE WHEN 1 THEN v * 60 + 30.5::DOUBLE ELSE 3600 + v * 60 + 30.5::DOUBLE END AS sec FROM (SELECT event_id, (user_id % 60)::BIGINT AS v FROM events)")
@@ -262,11 +263,12 @@ def m18(spark, d):
     return table(spark, d, "events").select("event_id", F.round("value", 1).alias("r1"), F.round(F.col("value") / 7, 3).alias("r3"))
 
 
-@query("m20_llm_json", "SELECT conv_id, turn, CASE turn % 3 WHEN 2 THEN left(trim(split_part(text, chr(10), 1)), 100) ELSE role END AS document_type, CASE turn % 3 WHEN 0 THEN 0.25 ELSE 0.5 END::DOUBLE AS confidence FROM (SELECT * FROM conversations WHERE text NOT LIKE '%{%' AND trim(text) <> '' AND lower(text) NOT LIKE '%document_type%')")
+@query("m20_llm_json", "SELECT conv_id, turn, CASE turn % 3 WHEN 2 THEN left(trim(split_part(said, chr(10), 1)), 100) ELSE role END AS document_type, CASE turn % 3 WHEN 0 THEN 0.25 ELSE 0.5 END::DOUBLE AS confidence FROM (SELECT *, 'so ' || replace(replace(text, '{', '('), 'ocument_', 'ocument ') AS said FROM conversations)")
 def m20(spark, d):
-    c = table(spark, d, "conversations").filter("text NOT LIKE '%{%' AND trim(text) <> '' AND lower(text) NOT LIKE '%document_type%'")
+    c = table(spark, d, "conversations")
+    said = F.concat(F.lit("so "), F.replace(F.replace("text", F.lit("{"), F.lit("(")), F.lit("ocument_"), F.lit("ocument ")))  # plain answers: neither JSON nor a named field
     raw = F.when(F.col("turn") % 3 == 0, F.concat(F.lit('<think>{"no": 1}</think>Sure: {"document_type": "'), F.col("role"), F.lit('", "confidence": 0.25} done')))
-    raw = raw.when(F.col("turn") % 3 == 1, F.concat(F.lit("well\nDocument_Type: "), F.col("role"))).otherwise(F.col("text"))
+    raw = raw.when(F.col("turn") % 3 == 1, F.concat(F.lit("well\nDocument_Type: "), F.col("role"))).otherwise(said)
     k = jsonx.document_type(raw)
     return c.select("conv_id", "turn", k["document_type"].alias("document_type"), k["confidence"].alias("confidence"))
 

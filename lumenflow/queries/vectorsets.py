@@ -14,6 +14,32 @@ _COS = f"({_DOT.format('a.embedding', 'b.embedding')} / sqrt({_DOT.format('a.emb
 _SENT = "list_filter(list_transform(string_split(regexp_replace(text, '([.!?]+)\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '')"
 
 
+_TOKENS = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]+')"
+_EV = "ev AS (SELECT *, floor(date_diff('microsecond', TIMESTAMP '2024-01-01', ts) / 1000000)::BIGINT AS t FROM events)"
+_CUT = "m.size + length(l.line) + 1 > 6000"
+_PARAGRAPHS = f"""l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i, len(string_split(text, chr(10))) AS n FROM documents WHERE length(text) > 6000),
+m AS (SELECT doc_id, i, n, line AS now, length(line) + 1 AS size, NULL::VARCHAR AS said, 0 AS chunk FROM l WHERE i = 1 UNION ALL
+ SELECT l.doc_id, l.i, l.n, CASE WHEN NOT {_CUT} THEN m.now || chr(10) || l.line WHEN m.now = '' THEN l.line ELSE right(m.now, 200) || chr(10) || l.line END, CASE WHEN {_CUT} THEN length(right(m.now, 200)) ELSE m.size END + length(l.line) + 1,
+ CASE WHEN {_CUT} THEN m.now END, m.chunk + ({_CUT})::INT FROM m JOIN l ON l.doc_id = m.doc_id AND l.i = m.i + 1),
+chunks AS (SELECT doc_id, 0 AS chunk, text AS body FROM documents WHERE length(text) <= 6000 UNION ALL SELECT doc_id, chunk - 1, said FROM m WHERE said IS NOT NULL UNION ALL SELECT doc_id, chunk, now FROM m WHERE i = n)"""
+
+
+def _cut_sql(text: str, most: int) -> str:
+    """Whole sentences of at most ``most`` characters, as text.sentence_cut()."""
+    s = _SENT.replace("text", text)
+    fits = f"list_filter(range(1, least(len({s}), {most}) + 1), lambda k: length(array_to_string(({s})[1:k], ' ')) <= {most})"
+    return f"CASE WHEN length({text}) <= {most} THEN {text} WHEN len({fits}) > 0 THEN array_to_string(({s})[1:list_max({fits})], ' ') ELSE left({text}, {most}) END"
+
+
+def _diverse_sql(rows: str, key: str, eps: float, before: str = "") -> str:
+    """The rows of folds.Diverse over ``rows`` (key, vec_id, embedding)."""
+    return f"""WITH RECURSIVE {before} r AS (SELECT {key}, vec_id, embedding::DOUBLE[] AS e, row_number() OVER (PARTITION BY {key} ORDER BY vec_id) AS i FROM ({rows})),
+dv AS (SELECT {key}, i, vec_id, [e] AS vs, true AS kept FROM r WHERE i = 1 UNION ALL
+ SELECT {key}, i, vec_id, CASE WHEN far THEN list_append(vs, e) ELSE vs END, far
+ FROM (SELECT r.*, dv.vs, 1 - list_max(list_transform(dv.vs, lambda v: list_cosine_similarity(v, r.e))) >= {eps} AS far FROM dv JOIN r ON r.{key} = dv.{key} AND r.i = dv.i + 1))
+SELECT {key}, vec_id AS kept FROM dv WHERE kept"""
+
+
 def _vectors(spark, d):
     return table(spark, d, "embeddings").withColumn("embedding", vectors.doubles(F.col("embedding")))
 
@@ -39,19 +65,31 @@ def w02(spark, d):
     return sequences.smooth_probabilities(rows, ["media"], "vec_id", "k", "p").select("vec_id", "k", F.round("smooth", 6).alias("smooth"))
 
 
-@query("w07_words_to_segments", None)
+@query("w07_words_to_segments", """WITH RECURSIVE w AS (SELECT conv_id, turn, list_filter(string_split_regex(trim(text), '\\s+'), lambda x: x <> '') AS ws, turn * 10.0::DOUBLE AS a, turn * 10.0::DOUBLE + 9.7::DOUBLE AS z FROM conversations),
+x AS (SELECT conv_id, turn, a, z, list_sum(list_transform(ws, lambda x: length(x)))::DOUBLE AS tot, unnest(ws) AS word, unnest(range(0, len(ws))) AS i FROM w),
+y AS (SELECT *, sum(length(word)) OVER (PARTITION BY conv_id, turn ORDER BY i)::DOUBLE AS upto FROM x),
+r AS (SELECT conv_id, word, round(a + (z - a) * (upto - length(word)) / tot, 3) AS s, least(round(a + (z - a) * upto / tot, 3), z) AS e, row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) AS k FROM y),
+m AS (SELECT conv_id, k, word, s, e, 1 AS n, 0 AS segment FROM r WHERE k = 1 UNION ALL
+ SELECT conv_id, k, word, s, e, CASE WHEN cut THEN 1 ELSE n + 1 END, CASE WHEN cut THEN segment + 1 ELSE segment END
+ FROM (SELECT r.*, m.n, m.segment, r.s - m.e > 0.5::DOUBLE OR right(m.word, 1) IN ('.', '!', '?') AND (r.s - m.e > 0.2::DOUBLE OR m.n >= 15) AS cut FROM m JOIN r ON r.conv_id = m.conv_id AND r.k = m.k + 1))
+SELECT conv_id, segment::INTEGER AS segment, min(s) AS start, arg_max(e, k) AS "end", count(*)::INTEGER AS n_words, string_agg(word, ' ' ORDER BY k) AS body FROM m GROUP BY 1, 2""")
 def w07(spark, d):
     c = table(spark, d, "conversations").select("conv_id", "turn", "text", (F.col("turn") * 10.0).alias("a"), (F.col("turn") * 10.0 + 9.7).alias("z"))
     words = sequences.word_timing(c, "text", "a", "z")
     return folds.fold(words, ["conv_id"], ["turn", "word_index"], ["word", "word_start", "word_end"], folds.WordsToSegments, "segment int, start double, end double, n_words int, body string")
 
 
-@query("w10_chunk_paragraphs", None)
+@query("w10_chunk_paragraphs", f"WITH RECURSIVE {_PARAGRAPHS} SELECT doc_id, chunk::INTEGER AS chunk, body FROM chunks")
 def w10(spark, d):
     return folds.chunk_texts(table(spark, d, "documents"), ["doc_id"], "text", folds.chunk_paragraphs)
 
 
-@query("w11_chunk_tokens", None)
+@query("w11_chunk_tokens", f"""WITH RECURSIVE d AS (SELECT doc_id, s, list_transform(s, lambda x: len(regexp_extract_all(x, '\\S+'))) AS n FROM (SELECT doc_id, {_SENT} AS s FROM documents) WHERE len(s) > 0),
+m AS (SELECT doc_id, 1 AS i, 1 AS a, n[1] AS total, NULL::BIGINT AS x, NULL::BIGINT AS y, 0 AS chunk FROM d UNION ALL
+ SELECT doc_id, i, CASE WHEN NOT cut THEN a WHEN keep THEN i - 1 ELSE i END, n_i + CASE WHEN NOT cut THEN total WHEN keep THEN n_p ELSE 0 END, CASE WHEN cut THEN a END, CASE WHEN cut THEN i - 1 END, chunk + cut::INT
+ FROM (SELECT m.doc_id, m.i + 1 AS i, m.a, m.total, m.chunk, d.n[m.i + 1] AS n_i, d.n[m.i] AS n_p, m.total + d.n[m.i + 1] > 128 AS cut, m.i > m.a AND d.n[m.i] <= 32 AS keep FROM m JOIN d USING (doc_id) WHERE m.i < len(d.n))),
+o AS (SELECT doc_id, chunk - 1 AS chunk, x, y FROM m WHERE x IS NOT NULL UNION ALL SELECT doc_id, chunk, a, i FROM m JOIN d USING (doc_id) WHERE m.i = len(d.n))
+SELECT doc_id, chunk::INTEGER AS chunk, 'Title: document. Text: ' || array_to_string(s[x:y], ' ') AS body FROM o JOIN d USING (doc_id)""")
 def w11(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "lang", F.concat_ws("\x01", text.sentences(F.col("text"))).alias("s"))
 
@@ -76,7 +114,9 @@ def w13(spark, d):
     return folds.fold(table(spark, d, "conversations"), ["conv_id"], ["turn", "text"], ["text"], lambda: folds.Pack(200), "chunk int, n int, body string")
 
 
-@query("w14_monotone_repair", None)
+@query("w14_monotone_repair", """WITH RECURSIVE r AS (SELECT user_id, event_id, CASE WHEN event_id % 7 <> 0 THEN value END::DOUBLE AS t, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+m AS (SELECT user_id, i, event_id AS id, coalesce(t, 0.0)::DOUBLE AS time, greatest(0, event_id)::BIGINT AS idx FROM r WHERE i = 1 UNION ALL
+ SELECT r.user_id, r.i, r.event_id, greatest(m.time, coalesce(r.t, m.time + 1.0::DOUBLE / 30)), greatest(m.idx + 1, r.event_id) FROM m JOIN r ON r.user_id = m.user_id AND r.i = m.i + 1) SELECT user_id, id, time, idx FROM m""")
 def w14(spark, d):
     e = table(spark, d, "events").withColumn("t", F.when(F.col("event_id") % 7 != 0, F.col("value")))
     return folds.fold(e.withColumn("i", F.col("event_id")), ["user_id"], ["event_id"], ["event_id", "t", "i"], lambda: folds.Monotone(30.0), "id long, time double, idx long")
@@ -90,18 +130,25 @@ def w16(spark, d):
     return folds.fold(_vectors(spark, d), ["label"], ["vec_id"], ["vec_id", "embedding"], lambda: folds.LastKept(0.1), "kept long")
 
 
-@query("w17_greedy_diverse", None)
+@query("w17_greedy_diverse", _diverse_sql("SELECT label, vec_id, embedding FROM embeddings", "label", 0.8))
 def w17(spark, d):
     return folds.fold(_vectors(spark, d), ["label"], ["vec_id"], ["vec_id", "embedding"], lambda: folds.Diverse(0.8), "kept long")
 
 
-@query("w19_merge_short", None)
+@query("w19_merge_short", """WITH RECURSIVE r AS (SELECT user_id, round(value, 2) AS b, row_number() OVER (PARTITION BY user_id ORDER BY round(value, 2)) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events WHERE value IS NOT NULL),
+m AS (SELECT user_id, i, n, b AS kept, NULL::DOUBLE AS last, b AS said FROM r WHERE i = 1 UNION ALL
+ SELECT r.user_id, r.i, r.n, CASE WHEN m.last - m.kept >= 25 THEN m.last ELSE m.kept END, r.b, CASE WHEN m.last - m.kept >= 25 THEN m.last END FROM m JOIN r ON r.user_id = m.user_id AND r.i = m.i + 1)
+SELECT user_id, said AS boundary FROM m WHERE said IS NOT NULL UNION ALL SELECT user_id, last FROM m WHERE i = n AND last IS NOT NULL""")
 def w19(spark, d):
     e = table(spark, d, "events").withColumn("b", F.round("value", 2))
     return folds.fold(e, ["user_id"], ["b"], ["b"], lambda: folds.MergeShort(25.0), "boundary double")
 
 
-@query("w23_boundary_repeats", None)
+@query("w23_boundary_repeats", """WITH RECURSIVE r AS (SELECT user_id, event_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS i FROM events WHERE event_type <> ''),
+m AS (SELECT user_id, i, event_id, event_type AS said, value AS a, value + 30 AS z, true AS kept FROM r WHERE i = 1 UNION ALL
+ SELECT user_id, i, event_id, CASE WHEN rep THEN said ELSE event_type END, CASE WHEN rep THEN a ELSE value END, CASE WHEN rep THEN z ELSE value + 30 END, NOT rep
+ FROM (SELECT r.*, m.said, m.a, m.z, r.event_type = m.said AND (r.value <= m.z + 0.3::DOUBLE OR abs(m.a - r.value) <= 0.3::DOUBLE) AS rep FROM m JOIN r ON r.user_id = m.user_id AND r.i = m.i + 1))
+SELECT user_id, event_id AS kept FROM m WHERE kept""")
 def w23(spark, d):
     e = table(spark, d, "events").withColumn("e", F.col("value") + 30)
     return folds.fold(e, ["user_id"], ["value", "event_id"], ["event_id", "event_type", "value", "e"], folds.DropRepeated, "kept long")
@@ -217,7 +264,12 @@ def g01(spark, d):
     return crawl.bfs(links, spark.range(1, 2).select(F.col("id").alias("node")), 2)
 
 
-@query("g02_retrieve_rerank", None)
+@query("g02_retrieve_rerank", f"""WITH ch AS (SELECT doc_id, i AS chunk, {_TOKENS.format("array_to_string(s[2*i+1:2*i+3], ' ')")} AS t FROM (SELECT doc_id, s, unnest(range(0, greatest(1, len(s) // 2))) AS i FROM (SELECT doc_id, {_SENT} AS s FROM documents) WHERE len(s) > 0)),
+said AS (SELECT DISTINCT doc_id, chunk, len(t) AS size, unnest(t) AS w FROM ch), q AS (SELECT item_id, list_distinct({_TOKENS.format('text')}) AS t FROM benchmark), asked AS (SELECT item_id, len(t) AS n, unnest(t) AS w FROM q),
+hits AS (SELECT item_id, doc_id, chunk, count(*) / max(n)::DOUBLE AS score, max(size) AS size FROM asked JOIN said USING (w) GROUP BY 1, 2, 3),
+best AS (SELECT *, score - ln(1 + size) / 100 AS r FROM hits QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, chunk) <= 50),
+rolled AS (SELECT item_id, doc_id, round(sum(r * exp(r)) / sum(exp(r)), 9) AS score FROM best GROUP BY 1, 2)
+SELECT item_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, max(score) OVER (PARTITION BY item_id) AS top FROM rolled WHERE score >= 0.05) WHERE top - score <= 0.5 AND rank <= 5""")
 def g02(spark, d):
     from lumenflow.plans.composites import retrieve_rerank
 
@@ -239,7 +291,11 @@ def g04(spark, d):
     return timeline(e, "user_id", "t", "event_type", "conf", 172800, 86400)
 
 
-@query("g05_transcript_enrich", None)
+@query("g05_transcript_enrich", f"""WITH {_EV}, s AS (SELECT user_id, event_id AS seg, t AS s, t + floor(value * 120)::BIGINT AS e FROM ev WHERE event_type IN ('click', 'view')),
+u AS (SELECT user_id, event_id AS turn, t AS ts, t + floor(value * 200)::BIGINT AS te, event_type AS speaker FROM ev WHERE event_type NOT IN ('click', 'view')),
+p AS (SELECT s.seg, turn, speaker, greatest(s, ts) AS o_start, least(e, te) AS o_end FROM s JOIN u ON s.user_id = u.user_id AND te > s AND ts < e),
+l AS (SELECT seg, count(*)::INTEGER AS n, '[' || string_agg('{{"o_start":' || o_start || ',"o_end":' || o_end || ',"speaker":"' || speaker || '"}}', ',' ORDER BY o_start, o_end, speaker) || ']' AS listed, arg_min(speaker, (o_start - o_end, turn)) AS speaker FROM p GROUP BY 1)
+SELECT seg, s, e, l.speaker, coalesce(n, 0)::INTEGER AS n_speakers, listed AS speakers FROM s LEFT JOIN l USING (seg)""")
 def g05(spark, d):
     from lumenflow.plans.composites import enrich
     from lumenflow.queries.timelines import _segments, _turns
@@ -247,7 +303,8 @@ def g05(spark, d):
     return enrich(_segments(spark, d), _turns(spark, d))
 
 
-@query("g06_map_reduce_summary", None)
+@query("g06_map_reduce_summary", f"""WITH RECURSIVE {_PARAGRAPHS}, p AS (SELECT doc_id, count(*)::INTEGER AS n_sections, string_agg('[Section ' || (chunk + 1) || ']' || chr(10) || {_cut_sql('body', 160)}, chr(10) || chr(10) ORDER BY chunk) AS whole FROM chunks GROUP BY 1)
+SELECT doc_id, n_sections, {_cut_sql('whole', 400)} AS summary FROM p""")
 def g06(spark, d):
     from lumenflow.plans.composites import map_reduce_summary
 

@@ -164,6 +164,11 @@ def test_text_functions(spark):
     assert one(spark, text.sentence_cut(F.col("a"), 12), a="One two. Three four.") == "One two."
 
 
+def test_sentences_are_trimmed_of_spaces_only(spark):
+    df = spark.createDataFrame([(" 0 zero. 1 one! 2? ",), (None,), ("",)], "t string")
+    assert [r[0] for r in df.select(text.sentences(F.col("t"))).collect()] == [["0 zero.", "1 one!", "2?"], None, []]
+
+
 def test_times(spark):
     assert one(spark, timing.srt_time(F.col("a")), a=3661.9996) == "01:01:01,999"
     for said, want in (("1:02:03.5", 3723.5), ("02:03", 123.0), ("90", 90.0), ("x", None), ("-3", None)):
