@@ -30,7 +30,8 @@ CODE_BITS = 256
 QUERY_BITS = 4
 EPSILON = 3.0
 SEED = 11
-LEAST_BLOCK, MOST_BLOCK, BLOCKS = 4096, 65536, 64
+FIRST = 4  # times k: how many of the best estimates are scored first
+LEAST_BLOCK, MOST_BLOCK, BLOCKS = 8192, 65536, 64
 
 
 def rotation(dim: int, bits: int, seed: int = SEED) -> np.ndarray:
@@ -98,13 +99,14 @@ class Block:
         low, steps = turned.min(), (1 << QUERY_BITS) - 1
         step = (turned.max() - low) / steps or 1.0
         level = np.rint((turned - low) / step).astype(np.uint8)
-        total = np.zeros(len(self.ids), np.int32)
+        total = np.zeros(len(self.ids), np.uint16 if self.bits << QUERY_BITS <= 1 << 16 else np.uint32)
         for j in range(QUERY_BITS):
             plane = np.packbits(level >> j & 1).view(np.uint64)
-            count = np.bitwise_count(self.words[0] & plane[0]).astype(np.uint16)
-            for w in range(1, len(plane)):
-                count += np.bitwise_count(self.words[w] & plane[w])
-            total += count.astype(np.int32) << j
+            for w in range(0, len(plane), 3):  # counts of three words fit in a byte
+                count = np.bitwise_count(self.words[w] & plane[w])
+                for x in range(w + 1, min(w + 3, len(plane))):
+                    count += np.bitwise_count(self.words[x] & plane[x])
+                total += count.astype(total.dtype) << j
         # signs are 2 bit - 1, coordinates low + step level
         dot = 2 * (low * self.ones + step * total) - (low * self.bits + step * int(level.sum()))
         return dot * self.scale, self.slack * np.sqrt(turned @ turned) + self.rounding * step
@@ -112,16 +114,21 @@ class Block:
     def search(self, row: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k best of the block's other rows by exact score, ties by id: (ids, scores)."""
         est, lack = self.estimates(query)
-        n = min(k + 1, len(est))  # the query itself may be among them
+        mine, n = np.flatnonzero(self.rows == row), min(FIRST * (k + 1), len(est))
+        est[mine] = -np.inf  # the query itself
         best = np.argpartition(est, len(est) - n)[len(est) - n :]
-        best = best[self.rows[best] != row]
-        if len(best) >= k:
-            exact = (self.vectors[best] * query).sum(axis=1)
-            least = np.partition(exact, len(exact) - k)[len(exact) - k]
-            chosen = np.flatnonzero(est + lack >= least)
-            chosen = np.union1d(chosen[self.rows[chosen] != row], best)
+        rough = self.vectors[best] @ query
+        rough[np.isneginf(est[best])] = -np.inf
+        if n > k + len(mine):
+            least = np.partition(rough, n - k)[n - k]
+            chosen = np.flatnonzero(est + lack >= least - 1e-9 * (1 + abs(least)))
         else:
             chosen = np.flatnonzero(self.rows != row)
+        # equal vectors may differ in a product's last bits, so the k best are found roughly and scored row by row
+        rough = self.vectors[chosen] @ query
+        if len(chosen) > k:
+            least = np.partition(rough, len(chosen) - k)[len(chosen) - k]
+            chosen = chosen[rough >= least - 1e-9 * (1 + abs(least))]
         exact = (self.vectors[chosen] * query).sum(axis=1)
         order = np.lexsort((self.ids[chosen], -exact))[:k]
         return self.ids[chosen][order], exact[order]
