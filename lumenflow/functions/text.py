@@ -164,3 +164,9 @@ def comment_metadata(markdown: Column) -> Column:
     pairs = F.arrays_zip(keys.alias("k"), values.alias("v"))
     last = F.aggregate(pairs, F.expr("cast(array() as array<struct<k:string,v:string>>)"), lambda a, p: F.concat(F.filter(a, lambda x: x["k"] != p["k"]), F.array(F.struct(p["k"].alias("k"), p["v"].alias("v")))))
     return F.map_from_entries(last)
+
+
+def shell_quote(argument: Column) -> Column:
+    """Arguments of letters, digits and . / : - _ = as they are; others in single quotes, with quotes inside escaped."""
+    quoted = F.concat(F.lit("'"), F.replace(argument, F.lit("'"), F.lit("'\\''")), F.lit("'"))
+    return F.when(argument.rlike(r"^[\p{L}\p{Nd}./:_=-]*\z"), argument).otherwise(quoted)

@@ -69,3 +69,29 @@ def document_text(elements: DataFrame, doc: str, order: str, body: str, most: in
     listed = F.sort_array(F.collect_list(F.struct(order, body)))
     joined = F.array_join(F.transform(listed, lambda r: r[body]), "\n")
     return rows.groupBy(doc).agg((joined if most is None else F.substring(joined, 1, most)).alias("text"))
+
+
+def json_items(raw: DataFrame, keep: list[str], value: str, item: str, under: str | None = None) -> DataFrame:
+    """(keep, ord, item's fields) of JSON texts that hold a list of ``item`` (a struct type), or an object with that list
+    ``under`` a name: captions (a plain list), text found in frames ("frames"), image manifests ("images"). Broken texts,
+    and such without the list, give none."""
+    listed = F.from_json(value, f"array<{item}>") if under is None else F.from_json(value, f"struct<{under}:array<{item}>>")[under]
+    return raw.select(*keep, F.posexplode(listed).alias("ord", "__item")).filter("__item IS NOT NULL").select(*keep, "ord", "__item.*")
+
+
+CAPTION = "struct<file:string,caption:string,caption_detailed:string>"
+FRAME_TEXT = "struct<frame:int,time:double,text:string,confidence:double>"
+MANIFEST_IMAGE = "struct<file:string,page:int,width:int,height:int>"
+
+
+def captions(raw: DataFrame, keep: list[str], value: str = "value") -> DataFrame:
+    """A caption file's entries; those without a caption go."""
+    return json_items(raw, keep, value, CAPTION).filter(F.trim("caption") != "")
+
+
+def frame_texts(raw: DataFrame, keep: list[str], value: str = "value") -> DataFrame:
+    return json_items(raw, keep, value, FRAME_TEXT, "frames")
+
+
+def manifest_images(raw: DataFrame, keep: list[str], value: str = "value") -> DataFrame:
+    return json_items(raw, keep, value, MANIFEST_IMAGE, "images")
