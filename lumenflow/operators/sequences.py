@@ -94,7 +94,8 @@ def hysteresis(df: DataFrame, keys: list[str], order: str, x: str, on: float, of
     rows = df.withColumn("__st", F.coalesce(state, F.lit(0)))
     runs = islands(rows, keys, [F.col(order)], ~(F.lag("__st").over(w) == F.col("__st")))
     out = runs.filter("__st = 1").groupBy(*keys, "island").agg(F.min(order).alias("a"), F.max(order).alias("z"))
-    return out.select(*keys, (F.col("a") * hop).alias("start"), ((F.col("z") + 1) * hop).alias("end")).filter(F.col("end") - F.col("start") >= least)
+    long = out.filter((F.col("z") + 1 - F.col("a")) * hop >= least)  # not by the difference of two rounded times
+    return long.select(*keys, (F.col("a") * hop).alias("start"), ((F.col("z") + 1) * hop).alias("end"))
 
 
 def word_timing(df: DataFrame, text: str, start: str, end: str) -> DataFrame:

@@ -164,7 +164,7 @@ def x09(spark, d):
 @query("x10_embeddings", None)
 def x10(spark, d):
     out = models.embed(table(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text"), "id", "text")
-    return out.select("id", F.size("vector").alias("dim"), F.round(F.get("vector", F.lit(0)), 6).alias("x0"))
+    return out.select("id", F.posexplode("vector").alias("k", "x")).withColumn("x", F.round("x", 6))
 
 
 @query("x06_stand_ins", "SELECT t.k AS kind, count(*) AS n FROM events, (VALUES ('speech_emotion'), ('audio_tagging'), ('actions')) t(k) GROUP BY 1")
