@@ -10,12 +10,14 @@ from lumenflow.session import table
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language, score and acceptance of every document; learned from those whose id's crc32 modulo 5 is not 0."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", langid.held_out(F.col("doc_id")))
     model = langid.train(docs.filter(~F.col("held_out")))
     return langid.predict(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score", "accepted")
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document, with hashes of its ids and of the bytes they decode to."""
     ids = bpe.encode(table(spark, sf_dir, "documents"), keep=["doc_id"])
     out = bpe.decode(ids)
     joined = F.array_join(F.col("ids").cast("array<string>"), " ")
@@ -23,6 +25,7 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and spans of secrets in every document."""
     found = secretscan.scan_secrets(table(spark, sf_dir, "documents"), keep=["doc_id"])
     base = [r.kind for r in secretscan.BASE_RULES]
     of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
@@ -32,6 +35,7 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without later occurrences of repeated three-line windows."""
     out = linededup.dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", "text")
 
@@ -53,6 +57,7 @@ FROM d LEFT JOIN k USING (doc_id)
 
 
 def op5_avi_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a motion-JPEG file, read back: hashes of payload and file, and its shots."""
     media = avi.text_to_avi(table(spark, sf_dir, "documents"))
     out = avi.read_clips(media)
     clips = F.array_join(F.transform("clips", lambda c: F.concat_ws("-", c["start_ms"], c["end_ms"])), ",")
@@ -69,10 +74,12 @@ def op5_avi_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document among eight shards."""
     out = ring.shard_documents(table(spark, sf_dir, "documents"), shards=8)
     # bounded loads without slack: counts at most one apart; where a row goes depends on all rows
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -85,6 +92,7 @@ def _sized(docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
     out = mixing.mix(_sized(table(spark, sf_dir, "documents"), sf_dir))
     return out.select("doc_id", "source", "size", "source_size", "target", "taken")
 
@@ -116,11 +124,13 @@ mixed AS (SELECT doc_id, source, size, source_size, target,
 OP8_SQL = f"WITH {_mix_sql('documents')} SELECT doc_id, source, size, source_size, target, (epochs * size)::BIGINT AS taken FROM mixed"
 
 def op9_one_bit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every vector whose id is divisible by 20. A repeated id asks once for each of its different vectors."""
     index = onebit.build_index(table(spark, sf_dir, "embeddings"))
     return onebit.search(index, F.col("id") % 20 == 0, k=20)
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that repeat 50-byte strings of smaller ids, and a hash of the rest."""
     out = suffix.remove_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
