@@ -8,6 +8,7 @@ and say nothing about the accuracy of any model.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -104,25 +105,24 @@ def stand_in(kind: ModelKind, df: DataFrame) -> DataFrame:
 
 
 def hashed_vector(body: str, dim: int = 32) -> list[float]:
-    """Stand-in embedding: hashed token counts with signs, unit length."""
+    """Stand-in embedding: signed counts of words, dealt to positions by their MD5, brought to unit length and rounded to
+    multiples of 1 / 1024, so that inner products are exact and tie alike everywhere."""
     v = np.zeros(dim)
-    for w in body.lower().split():
-        h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big")
-        v[h % dim] += 1 if h >> 63 else -1
+    for w in re.findall(r"\w+", body.lower()):
+        h = hashlib.md5(w.encode("utf-8", "surrogatepass")).digest()
+        v[int.from_bytes(h[:4], "big") % dim] += 1 if h[4] >= 128 else -1
     n = np.sqrt((v * v).sum())
-    return (v / n if n else v).tolist()
+    return (np.floor(v / n * 1024 + 0.5) / 1024 if n else v).tolist()
 
 
-def embed(df: DataFrame, ident: str, body: str, dim: int = 32) -> DataFrame:
-    """(id, vector)."""
-    rows = df.select(F.col(ident).cast("long").alias("id"), F.col(body).alias("text"))
-    return apply_model(rows, lambda: lambda b: pd.DataFrame({"id": b["id"], "vector": [hashed_vector(t or "", dim) for t in b["text"]]}), "id long, vector array<double>", 64)
+def embed(df: DataFrame, ident: str, body: str, dim: int = 32, prefix: str = "") -> DataFrame:
+    """(id, vector) of ``prefix`` and the text."""
+    rows = df.select(F.col(ident).cast("long").alias("id"), F.concat(F.lit(prefix), F.coalesce(F.col(body), F.lit(""))).alias("text"))
+    return apply_model(rows, lambda: lambda b: pd.DataFrame({"id": b["id"], "vector": [hashed_vector(t, dim) for t in b["text"]]}), "id long, vector array<double>", 64)
 
 
 def find_entities(df: DataFrame, ident: str, body: str, least: float = 0.6) -> DataFrame:
     """(id, word, kind, score, start, end): stand-in entities: capitalised words of 4 letters and more inside a line; kind and score from a hash."""
-    import re
-
     pattern = re.compile(r"(?<=[a-zà-ÿ,;] )[A-ZÀ-Þ][\w]{3,}")
 
     def model(b: pd.DataFrame) -> pd.DataFrame:

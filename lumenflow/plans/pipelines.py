@@ -30,7 +30,7 @@ class Module:
     run: Callable[[Tables], DataFrame]
 
 
-#: tables: segments (media, ord, start, end, text), turns (media, turn, ts, te, speaker), windows (media, t, label, conf), vectors (media, id, v)
+#: tables: segments (media, ord, start, end, text), turns (media, turn, ts, te, speaker), tags (media, k, label, conf), moods (media, k, label, p), energy (media, at, x), vectors (media, id, v)
 AUDIO = (
     Module("words", ("segments",), lambda t: sequences.word_timing(t["segments"], "text", "start", "end")),
     Module("speakers", ("segments", "turns"), lambda t: intervals.best_overlap(t["segments"].select("media", "ord", F.col("start").alias("s"), F.col("end").alias("e"), "text"), t["turns"], ["media"], "ord", ["turn"], 60)),
@@ -39,7 +39,7 @@ AUDIO = (
     Module("transcript", ("segments",), lambda t: sinks.plain_text(t["segments"], "media", "ord", "text")),
     Module("keywords", ("segments",), lambda t: tfidf_keywords(t["segments"].withColumn("id", F.concat_ws(":", "media", "ord")), "id", "text")),
     Module("entities", ("segments",), lambda t: models.find_entities(t["segments"].withColumn("id", F.xxhash64("media", "ord")), "id", "text")),
-    Module("timeline", ("windows",), lambda t: composites.timeline(t["windows"], "media", "t", "label", "conf", 2, 2)),
+    Module("timeline", ("tags", "moods", "turns", "energy"), lambda t: composites.timeline(t["tags"], t["moods"], t["turns"], t["energy"], "media")),
     Module("chapters", ("vectors",), lambda t: composites.chapters(t["vectors"], "media", "id", "v", 3.0)),
 )
 

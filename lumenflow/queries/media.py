@@ -161,12 +161,6 @@ def x09(spark, d):
     return models.find_entities(table(spark, d, "documents"), "doc_id", "text")
 
 
-@query("x10_embeddings", None)
-def x10(spark, d):
-    out = models.embed(table(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text"), "id", "text")
-    return out.select("id", F.posexplode("vector").alias("k", "x")).withColumn("x", F.round("x", 6))
-
-
 @query("x06_stand_ins", "SELECT t.k AS kind, count(*) AS n FROM events, (VALUES ('speech_emotion'), ('audio_tagging'), ('actions')) t(k) GROUP BY 1")
 def x06(spark, d):
     e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("media"), F.col("value").alias("start"), (F.col("value") + 2).alias("end"))

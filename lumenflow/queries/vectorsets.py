@@ -264,10 +264,26 @@ def g01(spark, d):
     return crawl.bfs(links, spark.range(1, 2).select(F.col("id").alias("node")), 2)
 
 
-@query("g02_retrieve_rerank", f"""WITH ch AS (SELECT doc_id, i AS chunk, {_TOKENS.format("array_to_string(s[2*i+1:2*i+3], ' ')")} AS t FROM (SELECT doc_id, s, unnest(range(0, greatest(1, len(s) // 2))) AS i FROM (SELECT doc_id, {_SENT} AS s FROM documents) WHERE len(s) > 0)),
-said AS (SELECT DISTINCT doc_id, chunk, len(t) AS size, unnest(t) AS w FROM ch), q AS (SELECT item_id, list_distinct({_TOKENS.format('text')}) AS t FROM benchmark), asked AS (SELECT item_id, len(t) AS n, unnest(t) AS w FROM q),
-hits AS (SELECT item_id, doc_id, chunk, count(*) / max(n)::DOUBLE AS score, max(size) AS size FROM asked JOIN said USING (w) GROUP BY 1, 2, 3),
-best AS (SELECT *, score - ln(1 + size) / 100 AS r FROM hits QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, chunk) <= 50),
+def _embedded(rows: str, prefix: str = "") -> str:
+    """SQL for (id, v): the stand-in embedding of the rows (id, body)."""
+    return f"""(SELECT id, list(coalesce(floor(x / n * 1024 + 0.5) / 1024, 0.0::DOUBLE) ORDER BY g.k) AS v FROM (SELECT id FROM {rows}) CROSS JOIN generate_series(0, 31) g(k)
+ LEFT JOIN (SELECT id, k, sum(s)::DOUBLE AS x FROM (SELECT id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 32 AS k, CASE WHEN substr(md5(w), 9, 1) >= '8' THEN 1 ELSE -1 END AS s FROM (SELECT id, unnest({_TOKENS.format(f"'{prefix}' || coalesce(body, '')")}) AS w FROM {rows})) GROUP BY 1, 2 HAVING sum(s) <> 0) USING (id, k)
+ LEFT JOIN (SELECT id, sqrt(sum(x * x)) AS n FROM (SELECT id, sum(s)::DOUBLE AS x FROM (SELECT id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 32 AS k, CASE WHEN substr(md5(w), 9, 1) >= '8' THEN 1 ELSE -1 END AS s FROM (SELECT id, unnest({_TOKENS.format(f"'{prefix}' || coalesce(body, '')")}) AS w FROM {rows})) GROUP BY id, k) GROUP BY 1) USING (id) GROUP BY 1)"""
+
+
+@query("x10_embeddings", f"SELECT id, i::INTEGER AS k, round(v[i + 1], 6) AS x FROM (WITH r AS (SELECT conv_id * 100 + turn AS id, text AS body FROM conversations) SELECT id, v FROM {_embedded('r')}), generate_series(0, 31) t(i)")
+def x10(spark, d):
+    from lumenflow.plans import models
+
+    out = models.embed(table(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text"), "id", "text")
+    return out.select("id", F.posexplode("vector").alias("k", "x")).withColumn("x", F.round("x", 6))
+
+
+@query("g02_retrieve_rerank", f"""WITH ch AS (SELECT row_number() OVER (ORDER BY doc_id, i) - 1 AS id, doc_id, array_to_string(s[2*i+1:2*i+3], ' ') AS body FROM (SELECT doc_id, s, unnest(range(0, greatest(1, len(s) // 2))) AS i FROM (SELECT doc_id, {_SENT} AS s FROM documents) WHERE len(s) > 0)),
+q AS (SELECT item_id AS id, trim(text) AS body FROM benchmark WHERE trim(text) <> ''), cv AS (SELECT * FROM {_embedded('ch', 'search_document: ')}), qv AS (SELECT * FROM {_embedded('q', 'search_query: ')}),
+near AS (SELECT * FROM (SELECT qv.id AS item_id, cv.id, row_number() OVER (PARTITION BY qv.id ORDER BY list_inner_product(qv.v, cv.v) DESC, cv.id) AS rk FROM qv CROSS JOIN cv) WHERE rk <= 50),
+pairs AS (SELECT item_id, doc_id, list_distinct({_TOKENS.format('q.body')}) AS qt, {_TOKENS.format('ch.body')} AS bt FROM near JOIN ch USING (id) JOIN q ON q.id = item_id),
+best AS (SELECT item_id, doc_id, len(list_intersect(qt, bt)) / greatest(len(qt), 1)::DOUBLE - ln(1 + len(bt)) / 100 AS r FROM pairs),
 rolled AS (SELECT item_id, doc_id, round(sum(r * exp(r)) / sum(exp(r)), 9) AS score FROM best GROUP BY 1, 2)
 SELECT item_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, max(score) OVER (PARTITION BY item_id) AS top FROM rolled WHERE score >= 0.05) WHERE top - score <= 0.5 AND rank <= 5""")
 def g02(spark, d):
@@ -287,8 +303,16 @@ def g03(spark, d):
 def g04(spark, d):
     from lumenflow.plans.composites import timeline
 
-    e = table(spark, d, "events").select("user_id", F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)").cast("long").alias("t"), "event_type", (F.col("value") / 500).alias("conf"))
-    return timeline(e, "user_id", "t", "event_type", "conf", 172800, 86400)
+    day, kinds = 86400, ("click", "error", "purchase", "signup", "view")
+    e = table(spark, d, "events").select("user_id", F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)").cast("long").alias("t"), "event_type", "value")
+    tags = sequences.hop_windows(e, ["user_id", "event_type"], "t", 2 * day, day, (F.max("value") / 500).alias("conf")).withColumnRenamed("event_type", "label")
+    # a window's class scores: the largest value of each type, 0 where the window has none
+    best = sequences.hop_windows(e, ["user_id"], "t", 2 * day, day, *[F.coalesce(F.max(F.when(F.col("event_type") == x, F.col("value"))) / 100, F.lit(0.0)).alias(x) for x in kinds])
+    p = vectors.softmax(F.array(*kinds), 0.7)
+    moods = best.select("user_id", "k", F.inline(F.arrays_zip(F.array(*[F.lit(x) for x in kinds]).alias("label"), p.alias("p"))))
+    speech = e.filter("event_type = 'view'").select("user_id", F.col("t").alias("ts"), (F.col("t") + F.floor(F.col("value") * 200)).alias("te"))
+    curve = e.groupBy("user_id", "t").agg(F.sum("value").alias("x")).withColumnRenamed("t", "at")
+    return timeline(tags, moods, speech, curve, "user_id", 2 * day, day, ("click",), 0.35, 0.12, 0.15, 1.5 * day, 0.5 * day, 5)
 
 
 @query("g05_transcript_enrich", f"""WITH {_EV}, s AS (SELECT user_id, event_id AS seg, t AS s, t + floor(value * 120)::BIGINT AS e FROM ev WHERE event_type IN ('click', 'view')),

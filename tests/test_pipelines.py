@@ -17,6 +17,18 @@ def test_audio(spark):
     assert made["subtitles"].first()["srt"].startswith("1\n00:00:00,000 --> 00:00:02,000\nHello")
 
 
+def test_audio_timeline(spark):
+    tags = spark.createDataFrame([("m", k, "music", 0.5) for k in range(4)] + [("m", 5, "speech", 0.4), ("m", 6, "noise", 0.3)], "media string, k long, label string, conf double")
+    moods = spark.createDataFrame([("m", k, x, p) for k in range(8) for x, p in (("calm", 0.7), ("glad", 0.3))], "media string, k long, label string, p double")
+    turns = spark.createDataFrame([("m", 1, 0.0, 1.5, "A")], "media string, turn int, ts double, te double, speaker string")
+    energy = spark.createDataFrame([("m", i, 1.0 if 40 <= i < 50 else 0.0) for i in range(100)], "media string, at long, x double")
+    made, summary = pipelines.run(spark, "audio", {"tags": tags, "moods": moods, "turns": turns, "energy": energy}, chosen=["timeline"])
+    assert {r["module"]: r["status"] for r in summary.collect()}["timeline"] == "ok"
+    got = sorted((r["kind"], r["label"] or "", r["s"], r["e"]) for r in made["timeline"].collect())
+    # the turn reaches windows 0 and 1; window 5 carries speech; window 6 is under the tag threshold
+    assert got == [("energy_peak", "", 44.0, 44.0), ("mood", "calm", 0.0, 3.0), ("mood", "calm", 5.0, 7.0), ("tag", "music", 0.0, 5.0), ("tag", "speech", 5.0, 7.0)]
+
+
 def test_video(spark):
     scenes = spark.createDataFrame([("m", 0, 29), ("m", 30, 119)], "media string, first long, last long")
     actions = spark.createDataFrame([("m", 0, "run", 0.0, 1.0, 0.5), ("m", 1, "run", 1.2, 2.0, 0.6)], "media string, ord int, label string, s double, e double, conf double")
