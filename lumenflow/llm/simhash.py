@@ -215,11 +215,8 @@ def _compared(rows: DataFrame, lanes: int, radius: int, chunk: int, skip: Callab
     dealt = rows.repartition("t", "b", "i", "j").sortWithinPartitions("t", "b", "i", "j", "side", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def block(key: tuple, side: np.ndarray, fps: np.ndarray) -> pa.RecordBatch | None:
-            left = int(np.count_nonzero(side == 0)) if key[2] != key[3] else 0
-            if len(fps) < 2 or (key[2] != key[3] and left in (0, len(fps))):
-                return None
-            us, vs = _forest(fps, left, radius, skip(key[0]))
+        def block(fps: np.ndarray, left: int, equal: tuple[tuple[int, int], ...]) -> pa.RecordBatch | None:
+            us, vs = _forest(fps, left, radius, equal)
             if not len(us):
                 return None
             if kind == "bigint":
@@ -233,18 +230,36 @@ def _compared(rows: DataFrame, lanes: int, radius: int, chunk: int, skip: Callab
                 return b.column(5).to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, 1)
             return np.frombuffer(b"".join(b.column(5).to_pylist()), np.uint64).reshape(-1, lanes)
 
+        def blocks(keys: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch | None]:
+            """Blocks of whole buckets or pairs of chunks. Small neighbouring buckets of a table make one block: what else
+            is compared there only finds links that hold."""
+            if not len(fps):
+                return
+            change = np.flatnonzero((keys[:4, 1:] != keys[:4, :-1]).any(axis=0)) + 1
+            cuts = [0, *change.tolist(), len(fps)]
+            start = 0  # of the small buckets that wait
+            for a, z in zip(cuts, cuts[1:]):
+                own = keys[2, a] == keys[3, a]
+                if start < a and (not own or keys[0, a] != keys[0, start] or z - start > SLAB):
+                    yield block(fps[start:a], 0, skip(int(keys[0, start])) if (keys[1, start] == keys[1, start:a]).all() else ())
+                    start = a
+                if not own:
+                    left = int(np.count_nonzero(keys[4, a:z] == 0))
+                    if 0 < left < z - a:
+                        yield block(fps[a:z], left, skip(int(keys[0, a])))
+                    start = z
+            if start < len(fps):
+                yield block(fps[start:], 0, skip(int(keys[0, start])) if (keys[1, start] == keys[1, start:]).all() else ())
+
         keys, fps = np.zeros((5, 0), np.int64), np.zeros((0, lanes), np.uint64)
         for b in batches:
             keys = np.concatenate((keys, np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(5)])), axis=1)
             fps = np.concatenate((fps, matrix(b)))
             change = np.flatnonzero((keys[:4, 1:] != keys[:4, :-1]).any(axis=0)) + 1
-            cuts = [0, *change.tolist()]
-            for a, z in zip(cuts, cuts[1:]):
-                if (out := block(tuple(keys[:4, a]), keys[4, a:z], fps[a:z])) is not None:
-                    yield out
-            keys, fps = keys[:, cuts[-1] :], fps[cuts[-1] :]
-        if len(fps) and (out := block(tuple(keys[:4, 0]), keys[4], fps)) is not None:
-            yield out
+            whole = int(change[-1]) if len(change) else 0  # the last bucket may go on in the next batch
+            yield from filter(None, blocks(keys[:, :whole], fps[:whole]))
+            keys, fps = keys[:, whole:], fps[whole:]
+        yield from filter(None, blocks(keys, fps))
 
     return dealt.select("t", "b", "i", "j", "side", "fp").mapInArrow(run, f"u {kind}, v {kind}")
 
