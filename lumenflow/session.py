@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_made: ContextVar[list[DataFrame] | None] = ContextVar("made", default=None)
+
+
 def local_session(cpus: int | str = "*", app: str = "lumenflow") -> SparkSession:
     """A local session with the settings the tests and the bench use."""
     n = 8 if cpus == "*" else int(cpus)
@@ -53,9 +59,21 @@ def durable(df: DataFrame) -> DataFrame:
     hadoop_path.getFileSystem(jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
     out = spark.read.schema(df.schema).parquet(path)
     out._durable_path = path
+    if (made := _made.get()) is not None:
+        made.append(out)
     return out
 
 
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """The durable() tables made inside, for release() once what is computed from them is written."""
+    token = _made.set([])
+    try:
+        yield _made.get()
+    finally:
+        _made.reset(token)
+
+
 def release(df: DataFrame) -> None:
     """Delete the files of a durable() table, once all that is computed from it is written; else do nothing."""
     if path := getattr(df, "_durable_path", None):

@@ -356,3 +356,17 @@ def test_adaptive_clusters_assigns_every_row_and_cuts_noise(spark, least, cut):
     got = rows(clustering.adaptive_clusters(df, "vec_id", "embedding", 0.35, least, **cut))
     want = plain_adaptive(v, 0.35, least, 4, 0.95, cut.get("farthest", 0.6))
     assert got == list(enumerate(want)) and -1 in want
+
+
+def test_scratch_lists_tables_made_inside(spark):
+    from lumenflow.session import durable, release, scratch
+
+    before = durable(spark.range(2))
+    with scratch() as made:
+        inside = durable(spark.range(3))
+        kept = durable(inside.filter("id > 0"))
+    assert [m._durable_path for m in made] == [inside._durable_path, kept._durable_path]
+    release(inside)
+    assert kept.count() == 2 and before.count() == 2
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|FILE_NOT_EXIST|does not exist"):
+        spark.read.parquet(inside._durable_path).count()
