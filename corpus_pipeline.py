@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenflow.llm import bpe, langid, linededup, mixing, simhash
-from lumenflow.session import durable, table
+from lumenflow.session import durable, release, scratch, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 ROW = ["k0", "k1"]
@@ -79,13 +79,17 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table ``documents``; each but the last is written to shared storage and read by the next."""
+    """All stages over the table ``documents``; each but the last is written to shared storage and read by the next. Once a
+    stage is written, its predecessor's rows and its own intermediate tables go."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = durable(docs)
-    return docs
+    for name, stage in STAGES[:-1]:
+        with scratch() as made:
+            out = stage(spark, docs, sf_dir)
+        kept = durable(out)
+        for old in [*made, docs]:
+            release(old)
+        docs = kept
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 #: models, SimHash components and BPE are beyond SQL; tests/llm compares run() with a plain version
