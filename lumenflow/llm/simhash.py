@@ -3,8 +3,8 @@
 Fingerprints of 64 bits are compared in blocks. A block stores its fingerprints
 vertically: one bit string for each of the 64 bit positions, 64 fingerprints to
 a machine word. For a query, the bit strings that differ from it are added up
-by carry-save counters, so that one word operation advances 64 distances, and a
-query is abandoned once all distances in its block exceed the radius.
+by carry-save counters, so that one word operation advances 64 distances, and
+64 fingerprints are abandoned once all their distances exceed the radius.
 
 Blocks come from the pigeonhole principle: of ``pieces`` bit ranges at least
 pieces - radius are equal in two fingerprints within the radius, so every
@@ -108,29 +108,39 @@ def planes(fps: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little")).view(np.uint64)
 
 
+def _add(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A full adder on every bit: (sum, carry)."""
+    x = a ^ b
+    return x ^ c, (a & b) | (x & c)
+
+
 def within(queries: np.ndarray, block: np.ndarray, size: int, radius: int = RADIUS, skip: tuple[tuple[int, int], ...] = ()) -> np.ndarray:
     """(len(queries), words) bit matrix: which of the block's ``size`` fingerprints lie within ``radius`` of each query.
 
-    ``block``: from planes(); ``skip``: bit ranges known to be equal. Planes are taken two at a time: a full adder
-    compresses the two differences and the lowest counter bit into a sum and a carry, which ripples on.
+    ``block``: from planes(); ``skip``: bit ranges known to be equal. Planes are taken eight at a time: full adders
+    compress their differences and the counters' three lowest bits, so that one carry for eight planes ripples on.
+    A query's words of 64 fingerprints are abandoned once all 64 exceed the radius; the last of the eight planes are zeros
+    where too few are left.
     """
     words = block.shape[1]
     found = np.zeros((len(queries), words), np.uint64)
     if not len(queries) or not size:
         return found
-    alive, q = np.arange(len(queries)), queries.reshape(len(queries), -1)
-    wide = (radius + 1).bit_length()
-    counter = [np.zeros((len(q), words), np.uint64) for _ in range(wide)]
+    q = queries.reshape(len(queries), -1)
+    cells = None  # (query, word) of what is still compared, once most are abandoned
+    counter = [np.zeros((len(q), words), np.uint64) for _ in range(max(3, (radius + 1).bit_length()))]
     over = np.zeros((len(q), words), np.uint64)
     tail = size % 64
     if tail:
         over[:, -1] = _ONES << np.uint64(tail)
-    zero = None
     order = [k for k in range(len(block)) if not any(a <= k < a + n for a, n in skip)]
 
-    def differs(k: int) -> np.ndarray:
-        mask = (np.uint64(0) - ((q[:, k >> 6] >> np.uint64(k & 63)) & np.uint64(1)))[:, None]
-        return block[k][None, :] ^ mask
+    def differs(at: int) -> np.ndarray:
+        if at >= len(order):
+            return np.zeros_like(over)
+        k = order[at]
+        mask = np.uint64(0) - ((q[:, k >> 6] >> np.uint64(k & 63)) & np.uint64(1))
+        return block[k][None, :] ^ mask[:, None] if cells is None else block[k][cells[1]] ^ mask[cells[0]]
 
     def above() -> np.ndarray:
         """Counters above the radius, bit by bit from the lowest."""
@@ -139,29 +149,28 @@ def within(queries: np.ndarray, block: np.ndarray, size: int, radius: int = RADI
             gt = (c & gt) if radius >> i & 1 else (c | gt)
         return gt
 
-    for step in range(0, len(order), 2):
-        d1 = differs(order[step])
-        if step + 1 < len(order):
-            d2 = differs(order[step + 1])
-            x = counter[0] ^ d1
-            carry = (counter[0] & d1) | (x & d2)
-            counter[0] = x ^ d2
-        else:
-            carry = counter[0] & d1
-            counter[0] = counter[0] ^ d1
-        for i in range(1, wide):
+    for step in range(0, len(order), 8):
+        fours = []
+        for at in (step, step + 4):
+            counter[0], low = _add(counter[0], differs(at), differs(at + 1))
+            counter[0], high = _add(counter[0], differs(at + 2), differs(at + 3))
+            counter[1], carry = _add(counter[1], low, high)
+            fours.append(carry)
+        counter[2], carry = _add(counter[2], *fours)
+        for i in range(3, len(counter)):
             counter[i], carry = counter[i] ^ carry, counter[i] & carry
         over |= carry
-        if step >= 2 * radius and step % 8 == 0:
+        if step + 8 >= 2 * radius:
             over |= above()
-            live = (over != _ONES).any(axis=1)
-            if not live.all():
-                if not live.any():
-                    return found
-                alive, q, over = alive[live], q[live], over[live]
-                counter = [c[live] for c in counter]
+            live = over != _ONES
+            n = np.count_nonzero(live)
+            if not n:
+                return found
+            if n * (4 if cells is None else 2) <= live.size:
+                cells = np.nonzero(live) if cells is None else tuple(c[live] for c in cells)
+                over, counter = over[live], [c[live] for c in counter]
     over |= above()
-    found[alive] = ~over
+    found[... if cells is None else cells] = ~over
     return found
 
 
@@ -174,10 +183,11 @@ def _forest(fps: np.ndarray, left: int, radius: int, skip: tuple[tuple[int, int]
     us, vs = [], []
     for at in range(0, left or len(fps), SLAB):
         queries = fps[at : at + SLAB] if not left else fps[at : min(at + SLAB, left)]
-        hit = within(queries, block, len(fps) - block_at, radius, skip)
+        first = left or at  # earlier ones of the same block have met these queries; SLAB is whole words
+        hit = within(queries, block[:, (first - block_at) // 64 :], len(fps) - first, radius, skip)
         for r in np.flatnonzero(np.bitwise_count(hit).sum(axis=1, dtype=np.int64) > (0 if left else 1)):
             i = at + r
-            js = np.flatnonzero(np.unpackbits(hit[r].view(np.uint8), bitorder="little")) + block_at
+            js = np.flatnonzero(np.unpackbits(hit[r].view(np.uint8), bitorder="little")) + first
             other = label[js]
             new, where = np.unique(other[other != label[i]], return_index=True)
             if len(new):

@@ -705,3 +705,31 @@ def test_radix_groups_are_the_repeated_windows():
     for k in at.tolist():
         want[text[k : k + 50].tobytes()].append(k)
     assert groups == sorted(g for g in want.values() if len(g) > 1)
+
+
+def test_bit_sliced_blocks_equal_all_pairs():
+    rng = np.random.default_rng(3)
+    for t in range(40):
+        lanes = (1, 2, 8)[t % 3]
+        n, radius = int(rng.integers(1, 700)), int(rng.integers(0, 9 if lanes == 1 else 110))
+        fps = rng.integers(0, 1 << 63, (n, lanes), dtype=np.uint64)
+        for _ in range(n // 2):
+            i, j = rng.integers(0, n, 2)
+            fps[i] = fps[j]
+            for _ in range(int(rng.integers(0, radius + 4))):
+                fps[i, rng.integers(0, lanes)] ^= np.uint64(1) << np.uint64(rng.integers(0, 64))
+        want = np.bitwise_count(fps[:, None, :] ^ fps[None, :, :]).sum(axis=2, dtype=int) <= radius
+        got = np.unpackbits(simhash.within(fps, simhash.planes(fps), n, radius).view(np.uint8), axis=1, bitorder="little")
+        assert (got[:, :n] == want).all() and not got[:, n:].any()
+
+        def label(pairs):
+            own = list(range(n))
+            for u, v in pairs:
+                a, b = own[u], own[v]
+                if a != b:
+                    own = [min(a, b) if x in (a, b) else x for x in own]
+            return own
+
+        left = int(rng.integers(0, n)) if t % 2 else 0
+        linked = np.argwhere(np.triu(want, 1) if not left else want & (np.arange(n)[:, None] < left) & (np.arange(n) >= left))
+        assert label(zip(*simhash._forest(fps, left, radius, ()))) == label(linked.tolist())
