@@ -189,6 +189,13 @@ def test_iou_argmax_repeated_ids_and_nulls(spark):
     assert [tuple(r) for r in got] == [(0, 1, 0, 8, 1.0), (0, 1, 50, 8, 1.0), (0, 2, 0, None, None), (0, None, 0, None, None), (None, 3, 0, None, None)]
 
 
+def test_mask_join_compares_different_boxes_only(spark):
+    masks = copied_boxes(spark, 1).withColumnRenamed("id", "other").withColumn("mask", F.concat(F.lit("m"), F.col("other").cast("string")))
+    out = spatial.mask_join(copied_boxes(spark, 0), masks, "frame", "id", "other", "mask", 0.5)
+    assert joined_rows(out) < 15000
+    assert {(r["id"] % 4, r["mask"]) for r in out.collect()} == {(0, "m0"), (1, "m1"), (2, "m2"), (3, "m3")}
+
+
 def test_text_functions(spark):
     assert one(spark, text.speech_word(F.col("a")), a="Don’t-stop!") == "don't stop"
     kv = one(spark, text.key_value(F.col("a")), a="a=b: c")
