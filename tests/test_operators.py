@@ -196,6 +196,13 @@ def test_mask_join_compares_different_boxes_only(spark):
     assert {(r["id"] % 4, r["mask"]) for r in out.collect()} == {(0, "m0"), (1, "m1"), (2, "m2"), (3, "m3")}
 
 
+def test_strict_low_threshold_over_copies(spark):
+    right = copied_boxes(spark, 9).withColumnRenamed("id", "other")
+    out = spatial.iou_argmax(copied_boxes(spark, 0), right, "frame", "id", "other", 0.01, True).filter("other IS NOT NULL")
+    assert joined_rows(out) < 10000
+    assert {(r["id"] % 4, r["other"]) for r in out.collect()} == {(0, 0), (1, 0), (2, 0), (3, 1)}
+
+
 def test_text_functions(spark):
     assert one(spark, text.speech_word(F.col("a")), a="Don’t-stop!") == "don't stop"
     kv = one(spark, text.key_value(F.col("a")), a="a=b: c")
