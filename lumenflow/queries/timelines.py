@@ -259,7 +259,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY round(s, 6) DE
 SELECT r.event_id, CASE WHEN n < 3 THEN r.event_type ELSE k.label END AS voted FROM r JOIN k ON k.event_id = r.event_id AND rk = 1""")
 def w03(spark, d):
     e = _events(spark, d).withColumn("i", F.row_number().over(Window.partitionBy("user_id").orderBy("t", "event_id")))
-    return sequences.vote3(e, ["user_id"], "i", "event_type", "value").select("event_id", "voted")
+    return sequences.vote3(e, ["user_id"], "i", "event_type", "value", 6).select("event_id", "voted")
 
 
 def _spans(spark, d):

@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from lumenflow.queries import ORACLES, QUERIES
 
@@ -47,6 +48,29 @@ def test_matches_oracle(spark, con, sf_dir, name):
     compare(spark, con, QUERIES[name], ORACLES[name], sf_dir)
 
 
+def own_tables(spark, tmp_path, **tables):
+    """A folder and a connection of one thread with these rows as tables."""
+    c = duckdb.connect()
+    c.execute("SET threads = 1")
+    for t, df in tables.items():
+        df.write.parquet(f"{tmp_path}/{t}.parquet")
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    return c, str(tmp_path)
+
+
+def events(spark, rows, parts=1):
+    """(event_id, user, type, value): an event a minute."""
+    df = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").repartitionByRange(parts, "event_id")
+    return df.select("event_id", F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(event_id as int))").alias("ts"), "user_id", "event_type", "value")
+
+
+def test_vote3_ties_to_six_decimals(spark, tmp_path):
+    rows = [(0, 1, "b", 0.3), (1, 1, "a", 0.1), (2, 1, "a", 0.2), (3, 2, "a", -5.0), (4, 2, "b", -2.0), (5, 2, "c", -3.0), (6, 3, "a", None), (7, 3, None, 1.0), (8, 3, "b", 0.5)]
+    con, d = own_tables(spark, tmp_path, events=events(spark, rows))
+    compare(spark, con, QUERIES["w03_vote3"], ORACLES["w03_vote3"], d)
+    assert {r["event_id"]: r["voted"] for r in QUERIES["w03_vote3"](spark, d).collect()}[1] == "b"  # 0.1 + 0.2 isn't above 0.3
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
