@@ -372,7 +372,7 @@ def w28(spark, d):
     e = _events(spark, d)
     first = F.floor(F.col("t") / 60).cast("long")
     scenes = e.select("user_id", F.col("event_id").alias("scene"), first.alias("a"), (first + F.floor("value")).cast("long").alias("z"))
-    return sequences.keyframe_plan(scenes, "user_id", "a", "z", 30.0).select("scene", "frame")
+    return sequences.keyframe_plan(scenes, "user_id", "a", "z", 30.0, ["scene"]).select("scene", "frame")
 
 
 @query("o03_candidate_order", f"WITH {EV}, x AS (SELECT *, max(value) OVER (PARTITION BY user_id) AS best, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id)::INTEGER AS rk FROM ev WHERE value >= 20) SELECT user_id, event_id, rk FROM x WHERE best - value <= 200 AND rk <= 5")

@@ -71,6 +71,16 @@ def test_vote3_ties_to_six_decimals(spark, tmp_path):
     assert {r["event_id"]: r["voted"] for r in QUERIES["w03_vote3"](spark, d).collect()}[1] == "b"  # 0.1 + 0.2 isn't above 0.3
 
 
+def test_keyframe_plan_sums_in_order(spark, tmp_path):
+    lengths = [40, 11, 35, 4, 27, 13, 11, 13, 8]  # a scene is half of the mean more or less, by the last bit of the sum
+    con, d = own_tables(spark, tmp_path, events=events(spark, [(i, 1, "x", n - 1.0) for i, n in enumerate(lengths)], parts=2))
+    spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 28))  # a task a file
+    try:
+        compare(spark, con, QUERIES["w28_keyframe_plan"], ORACLES["w28_keyframe_plan"], d)
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
