@@ -117,7 +117,7 @@ def k04(spark, d):
 @query("k05_snapshots", "SELECT format('page_{:04d}.md', 7 + row_number() OVER (ORDER BY url, page_id)) AS name, length('<!-- Source: ' || url || ' -->' || chr(10) || '<!-- Status: 200 -->' || chr(10) || chr(10) || html)::INTEGER AS n FROM pages")
 def k05(spark, d):
     p = table(spark, d, "pages").withColumn("status", F.lit("200"))
-    return sinks.snapshots(p, "url", "status", "html", 7).select("name", F.length("content").alias("n"))
+    return sinks.snapshots(p, "url", "status", "html", 7, ("page_id",)).select("name", F.length("content").alias("n"))
 
 
 @query("k09_mosaics", "SELECT media, tile, array_to_string(list(vec_id ORDER BY vec_id), ',') AS frames FROM (SELECT label AS media, vec_id, ((row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) // 12)::INTEGER AS tile FROM embeddings) GROUP BY 1, 2")

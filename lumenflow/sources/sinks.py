@@ -37,11 +37,11 @@ def html_table(cells: DataFrame, doc: str, rows: str) -> DataFrame:
     return cells.select(doc, F.concat(F.lit("<table>"), F.array_join(F.transform(rows, row), ""), F.lit("</table>")).alias("html"))
 
 
-def snapshots(pages: DataFrame, url: str, status: str, body: str, taken: int = 0) -> DataFrame:
-    """(name, content): crawled pages numbered by address, after ``taken`` existing files."""
+def snapshots(pages: DataFrame, url: str, status: str, body: str, taken: int = 0, ties: tuple[str, ...] = ()) -> DataFrame:
+    """(name, content): crawled pages numbered by address, then by the columns of ``ties`` (nulls last), after ``taken`` existing files."""
     from lumenflow.sources.markdown import page_header
 
-    n = F.row_number().over(Window.orderBy(url)) + taken  # a crawl's page budget bounds this
+    n = F.row_number().over(Window.orderBy(*[F.asc_nulls_last(c) for c in (url, *ties)])) + taken  # a crawl's page budget bounds this
     return pages.select(F.format_string("page_%04d.md", n).alias("name"), F.concat(page_header(F.col(url), F.col(status)), F.lit("\n"), F.col(body)).alias("content"))
 
 

@@ -81,6 +81,12 @@ def test_keyframe_plan_sums_in_order(spark, tmp_path):
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+def test_snapshots_of_one_address_by_id(spark, tmp_path):
+    rows = [(i, None if i == 9 else f"http://{'ba'[i % 2]}", "x" * (i + 1)) for i in (9, 8, 7, 6, 5, 4, 3, 2, 1)]
+    con, d = own_tables(spark, tmp_path, pages=spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1))
+    compare(spark, con, QUERIES["k05_snapshots"], ORACLES["k05_snapshots"], d)
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
